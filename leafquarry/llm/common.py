@@ -141,3 +141,35 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def bytes_of(col: str) -> F.Column:
     return F.col(col).cast("binary")
+
+
+def append_columns(df: DataFrame, needs: list[str], fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
+    """df with the columns of `schema` behind its own, row by row.
+
+    fn gets an iterator of {needed column: list} (strings as bytes) and yields {new column: list} for
+    each; the other columns pass through as Arrow arrays. Names that df has already are given by callers.
+    """
+    from pyspark.sql.types import StructType
+
+    extra = schema_of(df.sparkSession, schema)
+    full = StructType([*df.schema.fields, *StructType.fromDDL(schema).fields])
+
+    def run(batches):
+        seen = []
+
+        def lists():
+            for b in batches:
+                seen.append(b)
+                yield {c: (b.column(c).cast(pa.binary()) if pa.types.is_string(b.column(c).type) or pa.types.is_large_string(b.column(c).type) else b.column(c)).to_pylist() for c in needs}
+
+        for out in fn(lists()):
+            b = seen.pop(0)
+            new = [pa.array(out[f.name], type=f.type) for f in extra]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *extra.names])
+
+    return df.mapInArrow(run, full)
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, so that others cannot clash with what an operator adds."""
+    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -1,10 +1,13 @@
 """Queries of the subpackage and the SQL that they must equal, by name."""
 
-from leafquarry.llm import packing, token_files
+from leafquarry.llm import decontamination, packing, token_files
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op8_token_files": token_files.op8_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE,
+}
