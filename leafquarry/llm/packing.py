@@ -62,7 +62,7 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [first] * bool(first) + [capacity] * (n // capacity)
 
 
-def local_pieces(docs: DataFrame, capacity: int = CAPACITY, engine: str = "fast") -> DataFrame:
+def local_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
     """Tokenize and pack within each task: a row for each piece with its bin, place and the bin's fill."""
 
     def run(batches):
@@ -77,8 +77,8 @@ def local_pieces(docs: DataFrame, capacity: int = CAPACITY, engine: str = "fast"
             return out
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids, start = tokens.encode(text, engine), 0
+            for doc, ids in zip(b["doc_id"], tokens.encoder(tokenizer_path).encode(b["text"]), strict=True):
+                start = 0
                 for piece, n in enumerate(cut_lengths(len(ids), capacity)):
                     for c, v in zip(held, (doc, piece, start, n, zlib.crc32(ids[start : start + n])), strict=True):
                         held[c].append(v)
@@ -106,9 +106,9 @@ def merge_bins(level: int, capacity: int):
     return merge
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, group: int = GROUP, engine: str = "fast") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, group: int = GROUP, tokenizer_path: str | None = None) -> DataFrame:
     """Pieces of docs with sequence_id, offset (its place) and sequence_fill."""
-    pieces = common.cut(local_pieces(docs, capacity, engine))
+    pieces = common.cut(local_pieces(docs, capacity, tokenizer_path))
     under = pieces.filter((F.col("offset") == 0) & (F.col("fill") < nearly_full)).select("bin", "fill")
     spark, moves, n = docs.sparkSession, None, under.count()
     for level in range(1, ROUNDS + 1):

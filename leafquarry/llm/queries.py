@@ -1,13 +1,16 @@
 """Queries of the subpackage and the SQL that they must equal, by name."""
 
-from leafquarry.llm import decontamination, packing, token_files
+from leafquarry.llm import decontamination, packing, quality, substrings, token_files
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontamination.op3_decontamination,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op8_token_files": token_files.op8_token_files,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE,
+    "op10_substring_dedup": substrings.ORACLE,
 }

@@ -40,12 +40,12 @@ DICT_DOCS, DICT_SAMPLE_BYTES, DICT_BYTES = 1000, 4 << 20, 64 << 10
 LEVEL = 3
 
 
-def train_dictionary(docs: DataFrame, engine: str = "fast", n_docs: int = DICT_DOCS) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer_path: str | None = None, n_docs: int = DICT_DOCS) -> bytes:
     """A zstandard dictionary from the documents whose ids have the smallest hashes; b"" when there is too little to learn from."""
     ids = [r[0] for r in docs.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs).collect()]
     if not ids:
         return b""
-    got = common.map_columns(docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text"), lambda it: ({"doc_id": b["doc_id"], "ids": [tokens.encode(t, engine).astype("<u2").tobytes() for t in b["text"]]} for b in it), "doc_id long, ids binary")
+    got = common.map_columns(docs.filter(F.col("doc_id").isin(ids)).select("doc_id", "text"), lambda it: ({"doc_id": b["doc_id"], "ids": [ids.astype("<u2").tobytes() for ids in tokens.encoder(tokenizer_path).encode(b["text"])]} for b in it), "doc_id long, ids binary")
     samples, size = [], 0
     for r in got.withColumn("len", F.length("ids")).orderBy("len", "doc_id").limit(n_docs).toLocalIterator():
         size += len(r.ids)
@@ -62,7 +62,7 @@ def _dictionary(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def encode_documents(docs: DataFrame, dictionary: bytes, engine: str = "fast", vocabulary_size: int = 50_257) -> DataFrame:
+def encode_documents(docs: DataFrame, dictionary: bytes, tokenizer_path: str | None = None, vocabulary_size: int = 50_257) -> DataFrame:
     """(doc_id, n_tokens, crc, frame): one compressed frame a document."""
     kind = "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
@@ -70,8 +70,7 @@ def encode_documents(docs: DataFrame, dictionary: bytes, engine: str = "fast", v
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_tokens": [], "crc": [], "frame": []}
-            for t in b["text"]:
-                ids = tokens.encode(t, engine)
+            for ids in tokens.encoder(tokenizer_path).encode(b["text"]):
                 out["n_tokens"].append(len(ids))
                 out["crc"].append(zlib.crc32(ids))
                 out["frame"].append(press.compress(ids.astype(kind).tobytes()))
@@ -80,17 +79,17 @@ def encode_documents(docs: DataFrame, dictionary: bytes, engine: str = "fast", v
     return common.map_columns(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, crc long, frame binary")
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, engine: str = "fast", vocabulary_size: int = 50_257) -> str:
+def write_token_files(docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, vocabulary_size: int = 50_257) -> str:
     """Encode docs and write shards and dictionary below path (default: a new folder of the shared area); gives the path.
 
     Encoded frames go to the shared folder once; only they are dealt by range of doc_id (the tie columns
     keep a doc_id with very many rows from landing in one task).
     """
     spark = docs.sparkSession
-    path, raw = path or common.scratch(spark), train_dictionary(docs, engine)
+    path, raw = path or common.scratch(spark), train_dictionary(docs, tokenizer_path)
     sha, width = hashlib.sha256(raw).hexdigest(), 2 if vocabulary_size <= 1 << 16 else 4
     spark.createDataFrame([(sha, bytearray(raw), width)], "dict_sha256 string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
-    frames = common.cut(encode_documents(docs, raw, engine, vocabulary_size), "none")
+    frames = common.cut(encode_documents(docs, raw, tokenizer_path, vocabulary_size), "none")
     dealt = frames.withColumn("key", F.coalesce("doc_id", F.lit(common.NULL_ID))).repartitionByRange("key", "crc", "n_tokens").sortWithinPartitions("key", "crc", "n_tokens")
 
     def run(batches):

@@ -1,62 +1,77 @@
-"""Byte-pair ids of whole texts, with the vocabulary files of public tokenizers.
+"""Byte-pair ids of whole texts by the `tokenizers` library with a public vocabulary file.
 
-The ids are those of the `tokenizers` library with `byte_bpe_50k.json`. That library keeps an
-alignment for every token and so encodes about 1.4 MB/s a core here; `tiktoken` does the same
-merges with the same ranks (`byte_bpe_50k.tiktoken`) at five times that. engine="fast" uses the
-latter and falls back to the library for a text that it rejects; tests hold the two against each
-other over a whole table and over odd texts. engine="tokenizers" uses the library alone.
+A pattern of that vocabulary never matches across a single space between two other characters, so a text is
+cut there and each distinct piece is encoded once: frequent pieces stay in a cache of bounded size, and
+the rest of a batch goes to the library in one call. The ids are those of encoding the whole text.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
-JSON, RANKS, END = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 2
+JSON, END = "byte_bpe_50k.json", 2
+#: Pieces that a worker keeps; further ones are encoded again in each batch that has them.
+CACHED = 300_000
+#: Texts and bytes that are cut into pieces together.
+TEXTS, BYTES = 500, 8 << 20
 
+_CUT, _DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
 
-def vocabulary(name: str) -> str:
+
+def vocabulary(name: str = JSON) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def _library(path: str):
-    import os
-
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+class Encoder:
+    def __init__(self, path: str, cached: int = CACHED):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library, self.cached = Tokenizer.from_file(path), cached
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _missing(self, known: dict[str, bytes], pieces: set[str], before: str) -> dict[str, bytes]:
+        """known, or a copy for this batch where the cache is full, with ids of all pieces."""
+        if not (new := list(pieces - known.keys())):
+            return known
+        got = self.library.encode_batch_fast([before + p for p in new], add_special_tokens=False)
+        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, got, strict=True)}
+        if len(known) + len(new) <= self.cached:
+            known.update(got)
+            return known
+        return {p: known.get(p) or got.get(p, b"") for p in pieces}
+
+    def _batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [(_CUT.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [""] for t in texts]
+        heads = self._missing(self.heads, {p[0] for p in cut}, "")
+        tails: set[str] = set()
+        for p in cut:
+            tails.update(p[1:])
+        get = self._missing(self.tails, tails, " ").__getitem__
+        end = np.array([END], "<u4").tobytes()
+        return [np.frombuffer(b"".join([heads[p[0]], *map(get, p[1:]), end]), "<u4") for p in cut]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its ids and the end id; a null text is an empty one."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if len(held) >= TEXTS or size >= BYTES:
+                out += self._batch(held)
+                held, size = [], 0
+        return out + self._batch(held) if held else out
 
 
 @lru_cache(maxsize=2)
-def _fast(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-
-
-def encode(text: str | None, engine: str = "fast", json_path: str | None = None, ranks_path: str | None = None) -> np.ndarray:
-    """Ids of a whole text and the end id; a null text is an empty one. Special strings are ordinary text."""
-    if not text:
-        return np.array([END], "<u4")
-    if engine == "fast":
-        try:
-            ids = _fast(ranks_path or vocabulary(RANKS))(text)
-        except BaseException as e:  # the engine's panics are not Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            engine = "tokenizers"
-    if engine != "fast":
-        ids = _library(json_path or vocabulary(JSON)).encode(text, add_special_tokens=False).ids
-    ids.append(END)
-    return np.array(ids, "<u4")
+def encoder(path: str | None = None) -> Encoder:
+    """The worker's encoder for a vocabulary file (default: JSON of the public tokenizers)."""
+    return Encoder(path or vocabulary())
