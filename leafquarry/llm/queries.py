@@ -1,16 +1,19 @@
 """Queries of the subpackage and the SQL that they must equal, by name."""
 
-from leafquarry.llm import decontamination, packing, quality, substrings, token_files
+from leafquarry.llm import decontamination, licenses, near, packing, quality, substrings, token_files
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_packing": packing.op2_packing,
     "op3_decontamination": decontamination.op3_decontamination,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_token_files": token_files.op8_token_files,
+    "op9_near_dedup": near.op9_near_dedup,
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE,
     "op3_decontamination": decontamination.ORACLE,
     "op10_substring_dedup": substrings.ORACLE,
 }

@@ -14,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 JSON, END = "byte_bpe_50k.json", 2
-#: Pieces that a worker keeps; further ones are encoded again in each batch that has them.
-CACHED = 300_000
+#: Pieces that a worker keeps (about 0.3 GB in all); further ones are encoded again in each batch that has them.
+CACHED = 1_500_000
 #: Texts and bytes that are cut into pieces together.
 TEXTS, BYTES = 500, 8 << 20
 
