@@ -3,10 +3,11 @@
 Level-wise doubling. The first level looks at windows of half the width: of these, a document offers only
 its minimizers (in each run of starts that one full window spans, the window of least hash), as equal full
 windows offer the same ones. Windows found in one document alone go; around the repeated ones, and
-nowhere else, windows of the full width are built and counted: the second level. `longest` doubles on
-(twice the width, four times, ...) over what is repeated at the level before until nothing is.
-The removal needs no more than the full width, as a longer repeat is covered by windows of that width.
+nowhere else, windows of twice that length are built and counted: the second level. There the removal
+is settled, as a longer repeat is covered by windows of the full width. `longest` doubles on (100, 200, ...
+words) over what was repeated at the length before, until nothing is, to report how long repeats are.
 
+A document gives each hash once, however often its window recurs in it.
 Exact copies (the same words) leave after the first level: all but those of the smallest id are repeated
 as a whole. A window's first document is a minimum, summed before it is dealt out; the rows of a
 very common window go back to their documents by a plain join, which adaptive execution splits.
@@ -31,23 +32,25 @@ WIDTH = 50
 
 
 
-def minimizers(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of half-width windows that are least within a full window."""
-    half = width // 2
-    w = common.window_hashes(h, half)
-    span = width - half + 1  # starts of half windows in a full one
-    if len(w) < span:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    n = len(w) - span + 1
-    least, size = w, 1  # minimum over runs of starts, by doubling
+def _least(w: np.ndarray, span: int) -> np.ndarray:
+    """Minimum of each run of `span` values, by doubling."""
+    n, least, size = len(w) - span + 1, w, 1
     while size * 2 <= span:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
-    least = np.minimum(least[:n], least[span - size : span - size + n])
-    at = np.zeros(len(w), bool)
-    for k in range(span):  # every start whose hash is the least of a full window around it
-        at[k : k + n] |= w[k : k + n] == least
-    starts = np.flatnonzero(at)
-    return starts, w[starts]
+    return np.minimum(least[:n], least[span - size : span - size + n])
+
+
+def minimizers(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of the half-width windows that are least within a full window."""
+    w = common.window_hashes(h, width // 2)
+    span = width - width // 2 + 1  # starts of half windows in a full one
+    return np.unique(_least(w, span)) if len(w) >= span else np.empty(0, np.uint64)
+
+
+def full_windows(h: np.ndarray, half: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of full windows whose least half window has one of the hashes `half`."""
+    w = common.window_hashes(h, width // 2)
+    return np.unique(common.window_hashes(h, width)[np.isin(_least(w, width - width // 2 + 1), half)])
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -60,35 +63,16 @@ def _offers(keyed: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = {c: [] for c in ("uid", "key", "n_words", "same", "sha", "at", "hash")}
+            out = {c: [] for c in ("uid", "key", "n_words", "same", "sha", "hash")}
             for uid, key, text in zip(b["uid"], b["key"], b["body"], strict=True):
                 words = common.spaced_words(text)
                 joined = b" ".join(words)
-                at, hashes = minimizers(common.word_hashes(words), width) if len(words) >= width else (np.empty(0, np.int64), np.empty(0, np.uint64))
-                for c, v in zip(out, (uid, key, len(words), hashlib.md5(joined).digest(), hashlib.sha256(joined).hexdigest(), at.tolist(), common.signed(hashes).tolist()), strict=True):
+                hashes = minimizers(common.word_hashes(words), width) if len(words) >= width else np.empty(0, np.uint64)
+                for c, v in zip(out, (uid, key, len(words), hashlib.md5(joined).digest(), hashlib.sha256(joined).hexdigest(), common.signed(hashes).tolist()), strict=True):
                     out[c].append(v)
             yield out
 
-    return common.map_columns(keyed.select(F.col("lq_uid").alias("uid"), F.col("lq_key").alias("key"), common.bytes_of("text").alias("body")), run, "uid long, key long, n_words long, same binary, sha string, at array<int>, hash array<long>")
-
-
-def _full_windows(words: list[bytes], at: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of full windows whose least half window begins at one of `at`."""
-    half = width // 2
-    h = common.word_hashes(words)
-    w, full = common.window_hashes(h, half), common.window_hashes(h, width)
-    good = np.zeros(len(w) + 1, bool)
-    good[at] = True
-    span, n = width - half + 1, len(full)
-    least, size = w, 1
-    while size * 2 <= span:
-        least, size = np.minimum(least[:-size], least[size:]), size * 2
-    least = np.minimum(least[:n], least[span - size : span - size + n])
-    ok = np.zeros(n, bool)
-    for k in range(span):
-        ok |= good[k : k + n] & (w[k : k + n] == least)
-    starts = np.flatnonzero(ok)
-    return starts, full[starts]
+    return common.map_columns(keyed.select(F.col("lq_uid").alias("uid"), F.col("lq_key").alias("key"), common.bytes_of("text").alias("body")), run, "uid long, key long, n_words long, same binary, sha string, hash array<long>")
 
 
 def _repeated(rows: DataFrame, other: str) -> DataFrame:
@@ -100,49 +84,83 @@ def _repeated(rows: DataFrame, other: str) -> DataFrame:
 def covered(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all, marked, twins) for docs with lq_uid and lq_key.
 
-    all: uid, n_words, sha for every document. marked: uid, text, starts of the windows to remove, for
-    documents with some. twins: uid of copies of an earlier document, all of whose windows are repeats.
+    all: uid, key, n_words, sha for every document. marked: uid, body, marks (hashes of the windows to
+    remove) for documents with some. twins: uid of copies of an earlier document, all of whose windows are repeats.
     """
     offers = common.cut(_offers(docs, width))
     every = offers.select("uid", "key", "n_words", "sha")
     classes = offers.filter(F.col("n_words") >= width).select("uid", "key", "same")
     firsts = classes.groupBy("same").agg(F.min("key").alias("first"))
     twins = common.cut(classes.join(firsts, "same").filter("key > first").select("uid"))
-    spots = offers.select("uid", "key", F.expr("xxhash64(same)").alias("same"), F.explode(F.arrays_zip("at", "hash")).alias("o")).select("uid", "key", "same", F.col("o.at").alias("at"), F.col("o.hash").alias("hash"))
+    spots = offers.select("uid", "key", F.expr("xxhash64(same)").alias("same"), F.explode("hash").alias("hash"))
     half = _repeated(spots.select("hash", "key", "same"), "same")
-    near = spots.select("uid", "at", "hash").join(half.select("hash"), "hash").groupBy("uid").agg(F.collect_list("at").alias("at"))
+    near = spots.select("uid", "hash").join(half.select("hash"), "hash").groupBy("uid").agg(F.collect_list("hash").alias("half"))
     near = near.join(twins, "uid", "left_anti")
     texts = common.cut(docs.select(F.col("lq_uid").alias("uid"), F.col("lq_key").alias("key"), common.bytes_of("text").alias("body")).join(near, "uid"))
 
     def run(batches):
         for b in batches:
-            got = [_full_windows(common.spaced_words(t), a, width) for t, a in zip(b["body"], b["at"], strict=True)]
-            yield {"uid": b["uid"], "key": b["key"], "start": [s.tolist() for s, _ in got], "hash": [common.signed(h).tolist() for _, h in got]}
+            got = [full_windows(common.word_hashes(common.spaced_words(t)), np.array(a, np.int64).view(np.uint64), width) for t, a in zip(b["body"], b["half"], strict=True)]
+            yield {"uid": b["uid"], "key": b["key"], "hash": [common.signed(h).tolist() for h in got]}
 
-    wide = common.cut(common.map_columns(texts, run, "uid long, key long, start array<int>, hash array<long>"))
-    rows = wide.select("uid", "key", F.explode(F.arrays_zip("start", "hash")).alias("o")).select("uid", "key", F.col("o.start").alias("start"), F.col("o.hash").alias("hash"))
+    wide = common.cut(common.map_columns(texts, run, "uid long, key long, hash array<long>"))
+    rows = wide.select("uid", "key", F.explode("hash").alias("hash"))
     full = _repeated(rows.select("hash", "key"), "key")
-    starts = rows.join(full, "hash").filter("key > first").groupBy("uid").agg(F.collect_list("start").alias("start"))
-    return every, texts.select("uid", "body").join(starts, "uid"), twins
+    marks = rows.join(full, "hash").filter("key > first").groupBy("uid").agg(F.collect_list("hash").alias("marks"))
+    return every, texts.select("uid", "body").join(marks, "uid"), twins
 
 
-def _left(words: list[bytes], starts: list[int], width: int) -> list[bytes]:
+def _left(words: list[bytes], marks: np.ndarray, width: int) -> list[bytes]:
+    """The words that no window with a hash of `marks` covers."""
+    starts = np.flatnonzero(np.isin(common.window_hashes(common.word_hashes(words), width), marks))
     gone = np.zeros(len(words) + 1, np.int64)
-    np.add.at(gone, starts, 1)
-    np.add.at(gone, np.asarray(starts) + width, -1)
+    gone[starts] += 1
+    gone[starts + width] -= 1
     keep = np.cumsum(gone)[:-1] == 0
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
+def longest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, length) for documents with a window that another document has: its greatest length of width * 2^k words."""
+    keyed = with_key(common.pick(docs, "doc_id", "text"))
+    offers = _offers(keyed, width)
+    spots = offers.select("uid", "key", F.expr("xxhash64(same)").alias("same"), F.explode("hash").alias("hash"))
+    alive = common.cut(spots.join(_repeated(spots.select("hash", "key", "uid"), "uid").select("hash"), "hash").groupBy("uid").agg(F.first("key").alias("key"), F.collect_set("hash").alias("half")))
+    bodies, out, size = keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")), None, width
+    while True:
+
+        def run(batches, size=size):
+            for b in batches:
+                hashes = []
+                for t, a in zip(b["body"], b["half"], strict=True):
+                    h, known = common.word_hashes(common.spaced_words(t)), np.array(a, np.int64).view(np.uint64)
+                    if size == width:
+                        got = full_windows(h, known, width)
+                    else:  # both halves were repeated at the level before
+                        ok = np.isin(common.window_hashes(h, size // 2), known)
+                        got = np.unique(common.window_hashes(h, size)[ok[: -(size // 2)] & ok[size // 2 :]]) if len(h) >= size else np.empty(0, np.uint64)
+                    hashes.append(common.signed(got).tolist())
+                yield {"uid": b["uid"], "key": b["key"], "hash": hashes}
+
+        rows = common.cut(common.map_columns(bodies.join(alive, "uid"), run, "uid long, key long, hash array<long>")).select("uid", "key", F.explode("hash").alias("hash"))
+        alive = common.cut(rows.join(_repeated(rows, "uid").select("hash"), "hash").groupBy("uid").agg(F.first("key").alias("key"), F.collect_list("hash").alias("half")))
+        here = alive.select("uid", "key", F.lit(size).alias("length"))
+        out = here if out is None else out.unionByName(here)
+        if alive.isEmpty():
+            break
+        size *= 2
+    return out.groupBy("uid", "key").agg(F.max("length").alias("length")).select(F.when(F.col("key") != common.NULL_ID, F.col("key")).alias("doc_id"), "length")
+
+
 def _kept_words(marked: DataFrame, width: int) -> DataFrame:
     """uid, n_removed, kept (the words left, joined by a space)."""
 
     def run(batches):
         for b in batches:
             out = {"uid": b["uid"], "n_removed": [], "kept": [], "kept_sha256": []}
-            for text, starts in zip(b["body"], b["start"], strict=True):
+            for text, marks in zip(b["body"], b["marks"], strict=True):
                 words = common.spaced_words(text)
-                left = _left(words, starts, width)
+                left = _left(words, np.array(marks, np.int64).view(np.uint64), width)
                 kept = b" ".join(left)
                 out["n_removed"].append(len(words) - len(left))
                 out["kept"].append(kept.decode())
