@@ -125,6 +125,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: in
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = PATTERN_BYTES) -> DataFrame:
+    """The documents without a hit, with the columns of docs."""
+    return mark(docs, benchmark, hit := common.fresh(docs, "lq_hit"), items := common.fresh(docs, "lq_items"), window, most).filter(F.col(hit).isNull()).drop(hit, items)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).drop("items")
 

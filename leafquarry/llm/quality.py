@@ -201,12 +201,23 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> tupl
     return lexicon, learn_rules(x, bad, list(stats))
 
 
+def _judged(counted: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return counted.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs' doc_id and text with counts, base_failed, rule (number of the rule that rejects) and kept."""
     lexicon, rules = learn(docs, labels)
-    counted = add_counts(common.pick(docs, "doc_id", "text"), lexicon)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return _judged(add_counts(common.pick(docs, "doc_id", "text"), lexicon), rules)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The kept documents with the columns of docs, whatever their names."""
+    lexicon, rules = learn(docs, labels)
+    inner = docs.toDF(*[f"lq_{i}" for i in range(len(docs.columns))]).withColumnRenamed(f"lq_{docs.columns.index('text')}", "text")
+    kept = _judged(add_counts(inner, lexicon), rules).filter("kept")
+    return kept.select(*inner.columns).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
