@@ -6,11 +6,11 @@ are partitioned by the size of their shingle set (powers of two). For each parti
 threshold becomes the least Jaccard similarity that such a pair can have there, and the banding is
 tuned to it; a text offers its bands to its own partition, and to the next one where a partner may be.
 
-Candidates are links, never all pairs of a bucket. First, texts of equal sets are one class. Each bucket
-then compares its members with one centre by their exact sets, and the links found make components. Buckets
-that still hold several components take further centres; at last the pairs of different components, when
-few are left, are compared one by one. A pair within a component needs no comparison. Components come by
-large-star and small-star steps over tables; nothing is collected.
+Candidates are links, never all pairs of a bucket. First, texts of equal sets are one class. Each bucket then
+compares its members with one centre by their exact sets, and the links found make components. For texts of
+buckets that still hold several components, an exact prefix filter over their shingles (rarest first) gives the pairs
+of different components that can be linked, and these are compared too; a pair within a component
+needs no comparison. Components come by large-star and small-star steps over tables; nothing is collected.
 
 Defined results: words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased (if a text has none: of
 anything but white space); fewer than five words are one shingle; a text without words (or null) is
@@ -33,8 +33,6 @@ from leafquarry.llm import common
 WORDS, LEAST, HASHES = 5, 0.8, 128
 #: A pair at the threshold itself may miss all bands with this chance at most, where HASHES allows it.
 MISS = 1e-3
-#: Pairs a document that are compared one by one after the rounds of centres.
-PAIRS_PER_DOC, ROUNDS = 2, 12
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
@@ -135,6 +133,33 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFram
     return common.map_columns(pairs.join(t("a"), "a").join(t("b"), "b"), run, "a long, b long")
 
 
+def prefix_pairs(open_: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of different labels, among the texts of open_ (uid, label), that can be linked at all.
+
+    The exact way for buckets that one centre does not settle. With all shingles in one order, rarest first, linked
+    sets of n shingles at most share one of their first n - ceil(least n) + 1. A shingle that one text alone
+    has links nothing, so only shared ones are ordered and kept.
+    """
+
+    def run(batches):
+        for b in batches:
+            got = [shingles(t) for t in b["body"]]
+            yield {"uid": b["uid"], "label": b["label"], "n": [len(h) for h in got], "h": [common.signed(h).tolist() for h in got]}
+
+    sets = common.cut(common.map_columns(texts.join(open_, "uid").select("uid", "label", "body"), run, "uid long, label long, n long, h array<long>"))
+    rows = sets.select("uid", "n", F.explode("h").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = rows.join(shared, "h").groupBy("uid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
+    heads = ordered.select("uid", "n", F.size("s").alias("shared"), F.posexplode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "x"))
+    heads = heads.select("uid", "n", (F.col("shared") - F.col("at")).alias("rest"), F.col("x.h").alias("h"))  # rest: shingles from here on
+    heads = heads.join(open_, "uid")
+    mixed = heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
+    heads = common.cut(heads.join(mixed, "h"))
+    room = F.least("x.rest", "y.rest") >= F.ceil(F.lit(least) * F.greatest("x.n", "y.n") - 1e-9)  # true at the first common shingle of a linked pair
+    return heads.alias("x").join(heads.alias("y"), "h").filter("x.label != y.label and x.uid > y.uid").filter(room).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of the undirected edges (a, b) the least node of its component."""
     edges = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
@@ -165,29 +190,15 @@ def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> Data
     full = common.cut(buckets.join(ends.select("band"), "band"))  # buckets of two texts or more
     wanted = full.select("uid").distinct()
     texts = common.cut(keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")).join(wanted, "uid", "left_semi"))
-    n_texts = texts.count()
-    links = tested = None
-    labelled = full.withColumn("label", F.col("uid"))
-    for turn in range(ROUNDS):
-        # buckets that hold several components, with another centre each turn: the least by a hash that changes with the turn
-        order = F.struct(F.xxhash64("uid", F.lit(turn)).alias("h"), F.col("uid"), F.col("label")) if turn else F.struct(F.col("uid").alias("h"), F.col("uid"), F.col("label"))
-        heads = labelled.groupBy("band").agg(F.min(order).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-        if turn >= 2:
-            left = heads.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0
-            if left <= PAIRS_PER_DOC * 2 * max(n_texts, 1000) or turn == ROUNDS - 1:
-                break
-        star = labelled.join(heads.select("band", F.col("c.uid").alias("c"), F.col("c.label").alias("cl")), "band").filter("label != cl").select(F.greatest("uid", "c").alias("a"), F.least("uid", "c").alias("b")).distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = common.cut(star)
-        found = common.cut(verify(star, texts, least))
-        links = found if links is None else links.unionByName(found)
-        tested = star if tested is None else tested.unionByName(star)
-        labels = components(links)
-        labelled = full.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", F.coalesce("label", "uid").alias("label"))
-    multi = common.cut(labelled.join(heads.select("band"), "band"))
-    rest = multi.alias("x").join(multi.alias("y"), "band").filter("x.label != y.label and x.uid > y.uid").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(common.cut(verify(rest, texts, least)))
+    # one centre for each bucket: the least uid
+    star = ends.select("band", F.col("lo").alias("b")).join(full, "band").select(F.col("uid").alias("a"), "b").filter("a != b").distinct()
+    tested = common.cut(star)
+    links = common.cut(verify(tested, texts, least))
+    labels = components(links)
+    labelled = full.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", F.coalesce("label", "uid").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
+    open_ = common.cut(labelled.join(mixed, "band").groupBy("uid").agg(F.first("label").alias("label")))
+    links = links.unionByName(common.cut(verify(prefix_pairs(open_, texts, least).join(tested, ["a", "b"], "left_anti"), texts, least)))
     labels = components(links)
     return members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("uid", "key", "n", F.coalesce("label", "rep").alias("class_uid"))
 
