@@ -1,4 +1,373 @@
-"""Registered queries over the reference tables and the SQL that they must equal, by name."""
+"""Registered queries over the driver's tables and the SQL that they must equal, by name."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafquarry.functions import arrow, binary, geometry
+from leafquarry.operators import annotations, container, navigation, text_layer
+from leafquarry.plans import layout
+from leafquarry.plans.layout import PAGE_HEIGHT, WORDS_SQL, ZONES_SQL, table
+from leafquarry.sources import containers, writer
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+NEEDLE = "the"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def _documents(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _words(spark, sf_dir: str) -> DataFrame:
+    return layout.words(_documents(spark, sf_dir))
+
+
+# text layer
+
+_CONTEXT = "coalesce(string_agg(text, ' ') OVER (PARTITION BY doc_id, parent_id ORDER BY ord ROWS BETWEEN {}), '')"
+_BEFORE, _AFTER = _CONTEXT.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), _CONTEXT.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, parent_id, ord, x, y, width, height, text FROM z")
+def zone_words(spark, sf_dir):
+    return _words(spark, sf_dir).drop("zone_type", "n_children")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, text FROM z WHERE contains(lower(text), '{NEEDLE}')")
+def text_search_ci(spark, sf_dir):
+    return text_layer.search(_words(spark, sf_dir), NEEDLE).select("doc_id", "page_no", "zone_id", "text")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, line, ord, text, pre_text, post_text FROM (SELECT doc_id, page_no, parent_id AS line, ord, text, {_BEFORE} AS pre_text, {_AFTER} AS post_text FROM z) WHERE contains(lower(text), 'tion')")
+def text_search_context(spark, sf_dir):
+    """Which words hold a needle, on which page and line, with what around them. Lines without a hit leave before the windows."""
+    words = _words(spark, sf_dir)
+    hits = text_layer.search(text_layer.post_text(text_layer.pre_text(words)), "tion")
+    return hits.select("doc_id", "page_no", F.col("parent_id").alias("line"), "ord", "text", "pre_text", "post_text")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, {_BEFORE} AS pre_text FROM z")
+def pre_text(spark, sf_dir):
+    return text_layer.pre_text(_words(spark, sf_dir)).select("doc_id", "page_no", "zone_id", "pre_text")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, {_AFTER} AS post_text FROM z")
+def post_text(spark, sf_dir):
+    return text_layer.post_text(_words(spark, sf_dir)).select("doc_id", "page_no", "zone_id", "post_text")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, parent_id AS line, string_agg(text, ' ' ORDER BY ord) || chr(13) || chr(10) AS text FROM z GROUP BY ALL")
+def zone_rollup_line(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    return _words(spark, sf_dir).groupBy("doc_id", "page_no", F.col("parent_id").alias("line")).agg(F.concat(F.array_join(F.transform(rows, lambda s: s.text), " "), F.lit("\r\n")).alias("text"))
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, string_agg(text, ' ' ORDER BY zone_id) AS text FROM z GROUP BY ALL")
+def zone_rollup_page(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("zone_id", "text")))
+    return _words(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(rows, lambda s: s.text), " ").alias("text"))
+
+
+_RECT = (150, 100, 620, 420)
+_IN = "x >= {0} AND {y} >= {1} AND x + width <= {2} AND {y} + height <= {3}"
+_IN_SQL, _TOP_SQL = _IN.format(*_RECT, y="y"), _IN.format(*_RECT, y=f"({PAGE_HEIGHT} - y - height)")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, text FROM z WHERE {_IN_SQL}")
+def rect_search(spark, sf_dir):
+    return text_layer.search_rect(_words(spark, sf_dir), *_RECT).select("doc_id", "page_no", "zone_id", "text")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, zone_id, text FROM z WHERE {_TOP_SQL}")
+def oriented_rect_search(spark, sf_dir):
+    return text_layer.search_rect_from_top(_words(spark, sf_dir), *_RECT, F.lit(PAGE_HEIGHT)).select("doc_id", "page_no", "zone_id", "text")
+
+
+@query(f"WITH {ZONES_SQL}, r AS (SELECT p_partkey AS rect_id, (p_partkey % 7) * 90 AS xmin, (p_partkey % 11) * 60 AS ymin, (p_partkey % 7) * 90 + 8 * p_size AS xmax, (p_partkey % 11) * 60 + 20 AS ymax FROM part WHERE p_partkey <= 40) SELECT rect_id, doc_id, page_no, zone_id FROM z JOIN r ON x >= xmin AND y >= ymin AND x + width <= xmax AND y + height <= ymax")
+def rect_batch_search(spark, sf_dir):
+    part = table(spark, sf_dir, "part").filter("p_partkey <= 40")
+    rects = part.selectExpr("p_partkey as rect_id", "p_partkey % 7 * 90 as xmin", "p_partkey % 11 * 60 as ymin", "p_partkey % 7 * 90 + 8 * p_size as xmax", "p_partkey % 11 * 60 + 20 as ymax")
+    return text_layer.search_rects(_words(spark, sf_dir), rects).select("rect_id", "doc_id", "page_no", "zone_id")
+
+
+@query(f"""WITH {ZONES_SQL}, h AS (SELECT * FROM z WHERE {_TOP_SQL}),
+l AS (SELECT doc_id, page_no, parent_id, string_agg(text, ' ' ORDER BY zone_id) AS line FROM h GROUP BY ALL)
+SELECT doc_id, page_no, coalesce(t, '') AS text FROM p LEFT JOIN (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY parent_id) AS t FROM l GROUP BY ALL) USING (doc_id, page_no)""")
+def text_for_location(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    hits = text_layer.search_rect_from_top(layout.words(docs), *_RECT, F.lit(PAGE_HEIGHT))
+    return text_layer.text_for_location(layout.pages(docs), hits)
+
+
+# trees
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, coalesce(lag(page_no) OVER w, page_no) AS previous_page, coalesce(lead(page_no) OVER w, page_no) AS next_page FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_no)")
+def page_neighbours(spark, sf_dir):
+    return container.neighbours(layout.pages(_documents(spark, sf_dir)))
+
+
+@query("SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user') WHERE n = 1")
+def first_child_of_type(spark, sf_dir):
+    got = container.first_child(table(spark, sf_dir, "conversations"), "user", ["conv_id"], "turn", "role", "text")
+    return got.select("conv_id", F.lit("user").alias("role"), "turn", "text")
+
+
+@query("SELECT conv_id, turn, role, first_value(turn) OVER w AS first_sibling, last_value(turn) OVER w AS last_sibling, lag(turn) OVER o AS previous_sibling, lead(turn) OVER o AS next_sibling FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn), w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def siblings(spark, sf_dir):
+    return container.siblings(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "turn").drop("text")
+
+
+def _geography(spark, sf_dir) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    levels = [
+        t("region").selectExpr("cast(r_regionkey as bigint) as key", "cast(null as bigint) as parent_key"),
+        t("nation").selectExpr("cast(n_nationkey as bigint) as key", "cast(n_regionkey as bigint) as parent_key"),
+        t("customer").selectExpr("c_custkey as key", "cast(c_nationkey as bigint) as parent_key"),
+        t("orders").selectExpr("o_orderkey as key", "o_custkey as parent_key"),
+    ]
+    return container.preorder(levels)
+
+
+@query("""SELECT 0 AS level, CAST(r_regionkey AS BIGINT) AS key, count(DISTINCT n_nationkey) + count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) AS n_below
+  FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY r_regionkey
+UNION ALL SELECT 1, CAST(n_nationkey AS BIGINT), count(DISTINCT c_custkey) + count(DISTINCT o_orderkey) FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey
+UNION ALL SELECT 2, c_custkey, count(o_orderkey) FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+UNION ALL SELECT 3, o_orderkey, 0 FROM orders""")
+def subtree_count(spark, sf_dir):
+    return container.subtree_counts(_geography(spark, sf_dir)).select("level", "key", "n_below")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS nation, o_orderkey AS key FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey""")
+def descendants_of_type(spark, sf_dir):
+    """Orders below each nation by intervals: the nation's number is carried to the nodes behind it (a running maximum), not joined."""
+    from pyspark.sql import Window
+
+    tree = _geography(spark, sf_dir)
+    w = Window.partitionBy("root").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("level") == 1, F.struct(F.col("key").alias("key"), F.col("subtree_end").alias("subtree_end"))), ignorenulls=True).over(w)
+    inside = tree.withColumn("n", last).filter("level = 3 and node_id <= n.subtree_end")
+    return inside.select(F.col("n.key").alias("nation"), "key")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_custkey, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""")
+def key_chain(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "o_custkey", "c_name")
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "cast(turn as int) as ord", "role", "text")
+
+
+_TURNS = "t AS (SELECT conv_id, turn AS ord, role, text FROM conversations)"
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k, ord) - 1 AS INTEGER) AS ord FROM (
+  SELECT *, 0 AS k FROM t UNION ALL SELECT conv_id, 0, 'note', 'added', 1 FROM t WHERE ord = 0)""")
+def tree_add(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return container.add_children(t, t.filter("ord = 0").withColumns({"role": F.lit("note"), "text": F.lit("added")}), ["conv_id"])
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord, k) - 1 AS INTEGER) AS ord FROM (
+  SELECT *, 1 AS k FROM t UNION ALL SELECT conv_id, 1, 'note', 'inserted', 0 FROM t WHERE ord = 0)""")
+def tree_insert(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return container.insert_children(t, t.filter("ord = 0").withColumns({"ord": F.lit(1), "role": F.lit("note"), "text": F.lit("inserted")}), ["conv_id"])
+
+
+@query(f"""WITH {_TURNS} SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS INTEGER) AS ord FROM t WHERE NOT (ord = 1 AND conv_id % 2 = 0)""")
+def tree_remove(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return container.remove_children(t, t.filter("ord = 1 and conv_id % 2 = 0"), ["conv_id", "ord"], ["conv_id"])
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, ord, role, text FROM t WHERE conv_id % 5 <> 0")
+def tree_clear(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return container.clear_children(t, t.filter("conv_id % 5 = 0"), ["conv_id"])
+
+
+@query(f"""WITH {_TURNS}, q AS (SELECT DISTINCT conv_id, 'assistant' AS role FROM t) SELECT conv_id, role, EXISTS (SELECT 1 FROM t WHERE t.conv_id = q.conv_id AND t.role = q.role) AS present FROM q""")
+def tree_contains(spark, sf_dir):
+    t = _turns(spark, sf_dir)
+    return container.contains_children(t, t.select("conv_id", F.lit("assistant").alias("role")).distinct(), ["conv_id", "role"])
+
+
+# container files made of the documents, read back
+
+
+def _files(spark, sf_dir) -> DataFrame:
+    return layout.containers(_documents(spark, sf_dir))
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    return containers.chunks(_files(spark, sf_dir))
+
+
+_PAGES_SQL = ZONES_SQL + ", n AS (SELECT doc_id, max(page_no) AS n FROM p GROUP BY doc_id)"
+
+
+@query("SELECT doc_id, true AS is_container, true AS has_magic FROM documents")
+def is_container(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    return f.select("doc_id", binary.is_container(F.col("content")).alias("is_container"), binary.has_magic(F.col("content")).alias("has_magic"))
+
+
+@query(f"""WITH {_PAGES_SQL}, d AS (SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN n USING (doc_id))
+SELECT * FROM (SELECT doc_id, unnest(['DJVM', 'DIRM', 'NAVM', 'DJVI', 'ANTA', 'DJVU', 'INFO', 'INCL', 'TXTA', 'THUM', 'TH44']) AS chunk_type,
+  CAST(unnest([1, 1, CASE WHEN doc_id % 3 <> 0 AND n > 0 THEN 1 ELSE 0 END, 1, 1, n, n, n, n, CASE WHEN n >= 2 THEN 1 ELSE 0 END, n // 2]) AS BIGINT) AS n_chunks FROM d) WHERE n_chunks > 0""")
+def chunk_walk(spark, sf_dir):
+    return _chunks(spark, sf_dir).groupBy("doc_id", "chunk_type").agg(F.count("*").alias("n_chunks"))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, page_no, 800 AS width, 800 + page_no % 1000 AS height, 0 AS version_major, 26 AS version_minor, 300 AS dpi, 2.2::DOUBLE AS gamma, 'NONE' AS rotation, 0 AS rotation_code FROM p")
+def page_info(spark, sf_dir):
+    return container.pages(_chunks(spark, sf_dir)).drop("form_node_id", "node_offset")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, sha256(string_agg(text, ' ' ORDER BY zone_id)) AS text_sha256 FROM z GROUP BY ALL")
+def page_text(spark, sf_dir):
+    layers = text_layer.decode(container.page_chunks(_chunks(spark, sf_dir), ["TXTA", "TXTZ"]))
+    return layers.select("doc_id", "page_no", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, x, y, width, height, text FROM z WHERE contains(lower(text), '{NEEDLE}')")
+def layer_search(spark, sf_dir):
+    """The search over real text layers: container bytes, chunk walk, zone decoding, then the filter."""
+    zones = text_layer.zones(text_layer.decode(container.page_chunks(_chunks(spark, sf_dir), ["TXTA", "TXTZ"])))
+    return text_layer.search(zones, NEEDLE).select("doc_id", "page_no", "x", "y", "width", "height", "text")
+
+
+@query(f"""WITH {ZONES_SQL} SELECT doc_id, page_no, 'Page' AS zone_type, string_agg(line, ' ' ORDER BY parent_id) AS text FROM
+  (SELECT doc_id, page_no, parent_id, string_agg(text, ' ' ORDER BY ord) || chr(13) || chr(10) AS line FROM z GROUP BY ALL) GROUP BY ALL""")
+def zone_rollup(spark, sf_dir):
+    zones = text_layer.zones(text_layer.decode(container.page_chunks(_chunks(spark, sf_dir), ["TXTA", "TXTZ"])))
+    return text_layer.rollup(zones).filter("zone_type = 'Page'").select("doc_id", "page_no", "zone_type", F.col("rolled").alias("text"))
+
+
+@query(f"""WITH {_PAGES_SQL}, d AS (SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN n USING (doc_id))
+SELECT doc_id, 'shared.iff' AS id, 'include' AS kind, 0 AS ord FROM d UNION ALL SELECT doc_id, 'p' || lpad(CAST(page_no AS VARCHAR), 4, '0') || '.djvu', 'page', page_no FROM p
+UNION ALL SELECT doc_id, 'thumb.iff', 'thumbnail', n + 1 FROM d WHERE n >= 2""")
+def component_directory(spark, sf_dir):
+    return container.components(_chunks(spark, sf_dir)).select("doc_id", "id", "kind", "ord")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, 'p' || lpad(CAST(page_no AS VARCHAR), 4, '0') || '.djvu' AS component_id FROM p")
+def page_component(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return container.page_components(container.pages(c), container.components(c)).select("doc_id", "page_no", "component_id")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, 'shared.iff' AS include_id, 'DJVI' AS found FROM p")
+def include_resolution(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    got = container.resolve_includes(container.includes(c), container.components(c), c)
+    return got.select("doc_id", "page_no", "include_id", F.when(F.col("djvi_node_id").isNotNull(), F.lit("DJVI")).alias("found"))
+
+
+@query(f"WITH {_PAGES_SQL} SELECT doc_id, page_no, page_no <= n // 2 AS has_thumbnail FROM p JOIN n USING (doc_id)")
+def thumbnail_zip(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return container.thumbnails(container.page_forms(c), c).select("doc_id", "page_no", F.col("th44_node_id").isNotNull().alias("has_thumbnail"))
+
+
+@query(f"""WITH {_PAGES_SQL}, m AS (SELECT doc_id, n FROM n WHERE doc_id % 3 <> 0)
+SELECT doc_id, 'Start' AS name, 1 AS page_no, 2 AS n_below FROM m UNION ALL SELECT doc_id, 'Last', n, 0 FROM m UNION ALL SELECT doc_id, 'Nowhere', NULL, 0 FROM m""")
+def bookmark_to_page(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return navigation.target_pages(navigation.bookmarks(c), container.page_forms(c)).select("doc_id", "name", "page_no", "n_below")
+
+
+@query(f"""WITH {_PAGES_SQL} SELECT doc_id, page_no - 1 AS ord, 'Page ' || page_no AS name, '#' || page_no AS url FROM p WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id, 0, 'Start', '#1' FROM n WHERE doc_id % 3 <> 0""")
+def synth_outline(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return navigation.outline(container.page_forms(c), navigation.bookmarks(c))
+
+
+@query("""WITH a AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS ann_id, unnest([NULL, 0, 1, 0, 3]) AS parent_id, unnest([0, 0, 0, 1, 0]) AS ord, unnest([0, 1, 2, 1, 2]) AS depth,
+  unnest(['metadata', 'lang', NULL, 'source', NULL]) AS name, unnest([NULL, NULL, '"' || coalesce(lang, 'None') || '"', NULL, coalesce(source, 'None')]) AS value FROM documents) SELECT * FROM a""")
+def annotation_tree(spark, sf_dir):
+    return annotations.parse(annotations.texts(_chunks(spark, sf_dir))).drop("error")
+
+
+@query("""SELECT doc_id, '(metadata (lang "' || coalesce(lang, 'None') || '") (source ' || coalesce(source, 'None') || '))' AS text FROM documents""")
+def annotation_render(spark, sf_dir):
+    return annotations.render(annotations.parse(annotations.texts(_chunks(spark, sf_dir))))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def bzz_roundtrip(spark, sf_dir):
+    """Whole texts through the block-sorting compressor and back."""
+    from leafquarry.codec import bzz
+
+    def rows(row):
+        import hashlib
+
+        yield {"doc_id": row["doc_id"], "sha256": hashlib.sha256(bzz.decode(bzz.encode((row["text"] or "").encode()))).hexdigest()}
+
+    return arrow.map_rows(_documents(spark, sf_dir).select("doc_id", "text"), rows, "doc_id long, sha256 string")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def container_roundtrip(spark, sf_dir):
+    """Files to chunk rows and back, byte for byte."""
+    f = _files(spark, sf_dir)
+    again = writer.assemble(containers.chunks(f))
+    return f.join(again.withColumnRenamed("content", "again"), "doc_id").select("doc_id", (F.col("content") == F.col("again")).alias("same"))
+
+
+# geometry
+
+
+@query("""SELECT p_partkey, coalesce((SELECT min(k) FROM range(1, 16) t(k) WHERE (p_size * 37 + k - 1) // k = (p_size * 37 + p_partkey % 17) // (p_partkey % 17 + 1) AND (p_size * 53 + k - 1) // k = (p_size * 53 + p_partkey % 17) // (p_partkey % 17 + 1)), 16) AS factor FROM part""")
+def reduction_factor(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 17 + 1
+    w, h = F.col("p_size") * 37, F.col("p_size") * 53
+    small = lambda a: F.floor((a + k - 1) / k)
+    return p.select("p_partkey", geometry.reduction(w, h, small(w), small(h)).cast("int").alias("factor"))
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, page_no, min(x) AS xmin, min(y) AS ymin, max(x + width) AS xmax, max(y + height) AS ymax FROM z GROUP BY ALL")
+def rect_hull(spark, sf_dir):
+    w = _words(spark, sf_dir).withColumn("r", geometry.box(F.col("x"), F.col("y"), F.col("width"), F.col("height")))
+    return w.groupBy("doc_id", "page_no").agg(geometry.hull_of(F.col("r")).alias("h")).select("doc_id", "page_no", "h.*")
+
+
+@query(f"""WITH {ZONES_SQL}, c AS (SELECT doc_id, zone_id, greatest(x, 150) AS xmin, greatest(y, 100) AS ymin, least(x + width, 620) AS xmax, least(y + height, 420) AS ymax FROM z)
+SELECT doc_id, zone_id, CASE WHEN e THEN 0 ELSE xmin END AS xmin, CASE WHEN e THEN 0 ELSE ymin END AS ymin, CASE WHEN e THEN 0 ELSE xmax END AS xmax, CASE WHEN e THEN 0 ELSE ymax END AS ymax FROM (SELECT *, xmin >= xmax OR ymin >= ymax AS e FROM c)""")
+def rect_intersect(spark, sf_dir):
+    w = _words(spark, sf_dir).withColumn("r", geometry.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).withColumn("o", geometry.rect(*_RECT))
+    return w.select("doc_id", "zone_id", geometry.intersect(F.col("r"), F.col("o")).alias("i")).select("doc_id", "zone_id", "i.*")
+
+
+@query(f"WITH {ZONES_SQL} SELECT doc_id, zone_id, {_IN_SQL} AS inside, x >= 150 AND x < 620 AND y >= 100 AND y < 420 AS corner_inside FROM z")
+def rect_contains(spark, sf_dir):
+    w = _words(spark, sf_dir).withColumn("r", geometry.box(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).withColumn("o", geometry.rect(*_RECT))
+    return w.select("doc_id", "zone_id", geometry.contains(F.col("o"), F.col("r")).alias("inside"), geometry.contains_point(F.col("o"), F.col("x"), F.col("y")).alias("corner_inside"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' WHEN 2 THEN 'GIF' WHEN 3 THEN 'WEBP' WHEN 4 THEN 'PNM' END AS format FROM documents""")
+def sniff_format(spark, sf_dir):
+    heads = ["FFD8FFE000104A46", "89504E470D0A1A0A", "474946383961", "52494646AABBCCDD57454250", "50360A", "0011"]
+    head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in heads]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return _documents(spark, sf_dir).select("doc_id", binary.sniff_format(F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("format"))
