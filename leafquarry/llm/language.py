@@ -131,7 +131,7 @@ class Model:
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         some = lengths > 0
-        post = chain(self.scores[at].astype(np.float64), starts[some], lengths[some], self.trans, self.first) if len(at) else np.zeros((0, len(self.labels)))
+        post = chain(self.scores[at].astype(np.float64), starts[some], lengths[some], self.trans, self.first) if len(at) and self.labels else np.zeros((len(at), len(self.labels)))
         return post, self.letters[at], starts
 
     def predict(self, docs: list[list[str]]) -> list[tuple[str, float]]:

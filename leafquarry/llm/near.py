@@ -33,6 +33,8 @@ from leafquarry.llm import common
 WORDS, LEAST, HASHES = 5, 0.8, 128
 #: A pair at the threshold itself may miss all bands with this chance at most, where HASHES allows it.
 MISS = 1e-3
+#: Shingle sets that a task keeps while it compares pairs.
+HELD = 2000
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
@@ -118,15 +120,21 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFram
     """The pairs (a, b) whose exact sets have common shingles of at least `least` of the larger set."""
 
     def run(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def sets(uid: int, text: bytes) -> np.ndarray:
+            if uid not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[uid] = shingles(text)
+            return held[uid]
+
         for b in batches:
-            last, other = None, None
             keep = []
-            for x, y, kb in zip(b["ta"], b["tb"], b["b"], strict=True):
-                if kb != last:
-                    last, other = kb, shingles(y)
-                one = shingles(x)
-                big = max(len(one), len(other))
-                keep.append(big > 0 and min(len(one), len(other)) >= least * big - 1e-9 and len(np.intersect1d(one, other, assume_unique=True)) >= least * big - 1e-9)
+            for u, x, v, y in zip(b["a"], b["ta"], b["b"], b["tb"], strict=True):
+                one, other = sets(u, x), sets(v, y)
+                need = least * max(len(one), len(other), 1) - 1e-9
+                keep.append(min(len(one), len(other)) >= need and len(np.intersect1d(one, other, assume_unique=True)) >= need)
             yield {"a": [v for v, k in zip(b["a"], keep, strict=True) if k], "b": [v for v, k in zip(b["b"], keep, strict=True) if k]}
 
     t = lambda x: texts.select(F.col("uid").alias(x), F.col("body").alias(f"t{x}"))
