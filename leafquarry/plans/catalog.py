@@ -371,3 +371,145 @@ def sniff_format(spark, sf_dir):
     heads = ["FFD8FFE000104A46", "89504E470D0A1A0A", "474946383961", "52494646AABBCCDD57454250", "50360A", "0011"]
     head = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in heads]), (F.col("doc_id") % 6 + 1).cast("int"))
     return _documents(spark, sf_dir).select("doc_id", binary.sniff_format(F.concat(head, F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("format"))
+
+
+# codecs and pictures, over images made of the part table
+
+
+def _per_part(spark, sf_dir, fn, schema: str) -> DataFrame:
+    return arrow.map_rows(table(spark, sf_dir, "part").select("p_partkey", "p_size"), fn, schema)
+
+
+def _squares(n: int):
+    """A mask of n squares of side 3 in a row, by one mark and copies of it."""
+    import numpy as np
+
+    from leafquarry.codec import jb2
+
+    records = [(jb2.MARK, np.ones((3, 3), np.uint8), (1, 4), 0)] + [(jb2.COPY, None, (1 + 4 * k, 4), 0) for k in range(1, n)]
+    return jb2.encode(4 * n + 2, 12, records)
+
+
+@query("SELECT p_partkey, CAST(9 * p_size AS BIGINT) AS n_ink, CAST(p_size AS INTEGER) AS n_blits, 1 AS xmin, 4 AS ymin, CAST(4 * p_size AS INTEGER) AS xmax, 7 AS ymax FROM part")
+def mask_compose(spark, sf_dir):
+    """Bilevel masks written, read and composed; ink and its bounding box."""
+
+    def rows(row):
+        from leafquarry.codec import jb2
+        from leafquarry.raster import bitmaps
+
+        image = jb2.decode(_squares(row["p_size"]))
+        m = jb2.compose(image)
+        xmin, ymin, xmax, ymax = bitmaps.ink_box(m)
+        yield {"p_partkey": row["p_partkey"], "n_ink": int(m.sum()), "n_blits": len(image.blits), "xmin": xmin, "ymin": ymin, "xmax": xmax, "ymax": ymax}
+
+    return _per_part(spark, sf_dir, rows, "p_partkey long, n_ink long, n_blits int, xmin int, ymin int, xmax int, ymax int")
+
+
+@query("SELECT p_partkey, unnest(['PBM', 'PGM', 'PPM', 'R4']) AS kind, true AS same FROM part")
+def pnm_roundtrip(spark, sf_dir):
+    def rows(row):
+        import numpy as np
+
+        from leafquarry.raster import bitmaps
+
+        r = np.random.default_rng(row["p_partkey"])
+        n = row["p_size"]
+        for kind, m, grays, runs in (("PBM", r.integers(0, 2, (n, 9)), 2, False), ("PGM", r.integers(0, 16, (n, 9)), 16, False), ("PPM", r.integers(0, 256, (n, 9, 3)), 256, False), ("R4", r.integers(0, 2, (n, 300)), 2, True)):
+            m = m.astype(np.uint8)
+            raw = bool(row["p_partkey"] % 2)
+            again, levels = bitmaps.read_pnm(bitmaps.write_pnm(m, grays, raw or runs, runs))
+            yield {"p_partkey": row["p_partkey"], "kind": kind, "same": bool((again == m).all()) and levels == grays}
+
+    return _per_part(spark, sf_dir, rows, "p_partkey long, kind string, same boolean")
+
+
+@query("SELECT p_partkey, true AS close, true AS closer, 2 AS n_chunks FROM part")
+def wavelet_roundtrip(spark, sf_dir):
+    """Gray images through the wavelet codec: 25 decibels or more after the first chunk, 45 or more after the second."""
+
+    def rows(row):
+        import numpy as np
+
+        from leafquarry.codec import iw44
+
+        y, x = np.mgrid[0 : row["p_size"], 0:24]
+        m = (128 + 60 * np.sin(y / 7 + row["p_partkey"]) + 40 * np.cos(x / 5)).astype(np.uint8)
+        chunks = iw44.encode(m, (90, 30))
+        first, both = iw44.decibels(m, iw44.decode(chunks[:1])), iw44.decibels(m, iw44.decode(chunks))
+        yield {"p_partkey": row["p_partkey"], "close": bool(first >= 25), "closer": bool(both >= max(45, first)), "n_chunks": len(chunks)}
+
+    return _per_part(spark, sf_dir, rows, "p_partkey long, close boolean, closer boolean, n_chunks int")
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    """One-page files: a mask of squares, a palette for every second, a background for every third."""
+
+    def rows(row):
+        import numpy as np
+
+        from leafquarry.codec import iw44
+        from leafquarry.formats import iff, payloads
+
+        n, key = row["p_size"], row["p_partkey"]
+        parts = [iff.chunk("INFO", payloads.info(4 * n + 2, 12)), iff.chunk("Sjbz", _squares(n))]
+        if key % 2 == 0:
+            parts.append(iff.chunk("FGbz", payloads.palette([(0, 0, 255)], [0] * n)))
+        if key % 3 == 0:
+            parts += [iff.chunk("BG44", c) for c in iw44.encode(np.full((12, 4 * n + 2, 3), 200, np.uint8), (60,))]
+        yield {"doc_id": key, "content": iff.container(iff.form("DJVU", parts))}
+
+    return _per_part(spark, sf_dir, rows, "doc_id long, content binary")
+
+
+@query("""SELECT p_partkey AS doc_id, 1 AS page_no, CAST(4 * p_size + 2 AS INTEGER) AS width, 12 AS height, CAST(9 * p_size AS BIGINT) AS n_ink FROM part""")
+def render_page(spark, sf_dir):
+    """Whole pages; ink is black, or red where the page has a palette."""
+    chunks = containers.chunks(_pictures(spark, sf_dir))
+    from leafquarry.operators import render
+
+    images = render.render(render.page_layers(chunks))
+
+    def ink(row):
+        import numpy as np
+
+        m = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)
+        color = (255, 0, 0) if row["doc_id"] % 2 == 0 else (0, 0, 0)
+        yield {"doc_id": row["doc_id"], "page_no": row["page_no"], "width": row["width"], "height": row["height"], "n_ink": int((m == color).all(axis=2).sum())}
+
+    return arrow.map_rows(images.select("doc_id", "page_no", "width", "height", "data"), ink, "doc_id long, page_no int, width int, height int, n_ink long")
+
+
+@query("SELECT p_partkey AS doc_id, 1 AS page_no, p_partkey % 3 <> 0 AS legal_bilevel, p_partkey % 6 = 0 AS legal_compound, p_partkey % 3 = 0 OR p_partkey % 2 = 0 AS is_color FROM part")
+def page_kinds(spark, sf_dir):
+    from leafquarry.operators import render
+
+    return render.page_kinds(render.page_layers(containers.chunks(_pictures(spark, sf_dir))))
+
+
+@query("SELECT doc_id, NULL::VARCHAR AS error FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'no container header' FROM documents WHERE doc_id % 2 = 1")
+def parse_errors(spark, sf_dir):
+    """Broken files give an error row each and leave the others alone."""
+    f = _files(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise(F.substring("content", 1, 15)))
+    return containers.walk(f).filter("error is not null or node_id = 0").select("doc_id", "error")
+
+
+# ordinary relational work over the other tables, beyond the container model
+
+
+@query("SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name".replace("sum(l_extendedprice * (1 - l_discount))", "round(sum(l_extendedprice * (1 - l_discount)), 2)"))
+def revenue_by_nation(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n_lines"))
+
+
+@query("""SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n_events FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS g FROM events)) GROUP BY ALL""")
+def events_sessionize(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.when(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 30 minutes"), 1).otherwise(0)
+    e = table(spark, sf_dir, "events").withColumn("g", gap).withColumn("session", F.sum("g").over(w))
+    return e.groupBy("user_id", "session").agg(F.count("*").alias("n_events"))
