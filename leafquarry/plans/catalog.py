@@ -99,10 +99,11 @@ def oriented_rect_search(spark, sf_dir):
     return text_layer.search_rect_from_top(_words(spark, sf_dir), *_RECT, F.lit(PAGE_HEIGHT)).select("doc_id", "page_no", "zone_id", "text")
 
 
-@query(f"WITH {ZONES_SQL}, r AS (SELECT p_partkey AS rect_id, (p_partkey % 7) * 90 AS xmin, (p_partkey % 11) * 60 AS ymin, (p_partkey % 7) * 90 + 8 * p_size AS xmax, (p_partkey % 11) * 60 + 20 AS ymax FROM part WHERE p_partkey <= 40) SELECT rect_id, doc_id, page_no, zone_id FROM z JOIN r ON x >= xmin AND y >= ymin AND x + width <= xmax AND y + height <= ymax")
+@query(f"WITH {ZONES_SQL}, r AS (SELECT DISTINCT p_size AS rect_id, (p_size % 7) * 90 AS xmin, (p_size % 11) * 60 AS ymin, (p_size % 7) * 90 + 8 * p_size AS xmax, (p_size % 11) * 60 + 20 AS ymax FROM part) SELECT rect_id, doc_id, page_no, zone_id FROM z JOIN r ON x >= xmin AND y >= ymin AND x + width <= xmax AND y + height <= ymax")
 def rect_batch_search(spark, sf_dir):
-    part = table(spark, sf_dir, "part").filter("p_partkey <= 40")
-    rects = part.selectExpr("p_partkey as rect_id", "p_partkey % 7 * 90 as xmin", "p_partkey % 11 * 60 as ymin", "p_partkey % 7 * 90 + 8 * p_size as xmax", "p_partkey % 11 * 60 + 20 as ymax")
+    """A stated set of rectangles (one for each size of part) against all words."""
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    rects = sizes.selectExpr("p_size as rect_id", "p_size % 7 * 90 as xmin", "p_size % 11 * 60 as ymin", "p_size % 7 * 90 + 8 * p_size as xmax", "p_size % 11 * 60 + 20 as ymax")
     return text_layer.search_rects(_words(spark, sf_dir), rects).select("rect_id", "doc_id", "page_no", "zone_id")
 
 
@@ -193,16 +194,16 @@ def tree_insert(spark, sf_dir):
     return container.insert_children(t, t.filter("ord = 0").withColumns({"ord": F.lit(1), "role": F.lit("note"), "text": F.lit("inserted")}), ["conv_id"])
 
 
-@query(f"""WITH {_TURNS} SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS INTEGER) AS ord FROM t WHERE NOT (ord = 1 AND conv_id % 2 = 0)""")
+@query(f"""WITH {_TURNS} SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS INTEGER) AS ord FROM t WHERE NOT (length(text) < 60)""")
 def tree_remove(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    return container.remove_children(t, t.filter("ord = 1 and conv_id % 2 = 0"), ["conv_id", "ord"], ["conv_id"])
+    return container.remove_children(t, t.filter("length(text) < 60"), ["conv_id", "ord"], ["conv_id"])
 
 
-@query(f"WITH {_TURNS} SELECT conv_id, ord, role, text FROM t WHERE conv_id % 5 <> 0")
+@query(f"WITH {_TURNS} SELECT conv_id, ord, role, text FROM t WHERE conv_id NOT IN (SELECT conv_id FROM t WHERE length(text) < 60)")
 def tree_clear(spark, sf_dir):
     t = _turns(spark, sf_dir)
-    return container.clear_children(t, t.filter("conv_id % 5 = 0"), ["conv_id"])
+    return container.clear_children(t, t.filter("length(text) < 60"), ["conv_id"])
 
 
 @query(f"""WITH {_TURNS}, q AS (SELECT DISTINCT conv_id, 'assistant' AS role FROM t) SELECT conv_id, role, EXISTS (SELECT 1 FROM t WHERE t.conv_id = q.conv_id AND t.role = q.role) AS present FROM q""")
