@@ -76,9 +76,12 @@ def _offers(keyed: DataFrame, width: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, other: str) -> DataFrame:
-    """Hashes of `rows` (hash, key, other) that more than one `other` has, with the smallest key."""
+    """Hashes of `rows` (hash, key, other) that more than one `other` has, with the smallest key.
+
+    A table of its own, so that the join back has two plain sides and adaptive execution can split a common hash.
+    """
     ends = rows.groupBy("hash").agg(F.min("key").alias("first"), F.min(other).alias("lo"), F.max(other).alias("hi"))
-    return ends.filter("lo < hi").select("hash", "first")
+    return common.cut(ends.filter("lo < hi").select("hash", "first"))
 
 
 def covered(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
