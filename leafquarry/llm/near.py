@@ -156,13 +156,13 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
 
     sets = common.cut(common.map_columns(texts.join(open_, "uid").select("uid", "label", "body"), run, "uid long, label long, n long, h array<long>"))
     rows = sets.select("uid", "n", F.explode("h").alias("h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = common.cut(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     ordered = rows.join(shared, "h").groupBy("uid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
     first = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("s"))).cast("int")
     heads = ordered.select("uid", "n", F.size("s").alias("shared"), F.posexplode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "x"))
     heads = heads.select("uid", "n", (F.col("shared") - F.col("at")).alias("rest"), F.col("x.h").alias("h"))  # rest: shingles from here on
-    heads = heads.join(open_, "uid")
-    mixed = heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h")
+    heads = common.cut(heads.join(open_, "uid"))
+    mixed = common.cut(heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h"))
     heads = common.cut(heads.join(mixed, "h"))
     room = F.least("x.rest", "y.rest") >= F.ceil(F.lit(least) * F.greatest("x.n", "y.n") - 1e-9)  # true at the first common shingle of a linked pair
     return heads.alias("x").join(heads.alias("y"), "h").filter("x.label != y.label and x.uid > y.uid").filter(room).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
@@ -194,7 +194,8 @@ def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> Data
     members = common.cut(slim.join(reps, "same", "left").select("uid", "key", "n", F.coalesce("rep", "uid").alias("rep")))
     only = members.filter("uid = rep").select("uid")
     buckets = sets.join(only, "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
-    ends = buckets.groupBy("band").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi")
+    # sums are tables of their own: a join with them has two plain sides, which adaptive execution can split at a hot key
+    ends = common.cut(buckets.groupBy("band").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi"))
     full = common.cut(buckets.join(ends.select("band"), "band"))  # buckets of two texts or more
     wanted = full.select("uid").distinct()
     texts = common.cut(keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")).join(wanted, "uid", "left_semi"))
@@ -204,7 +205,7 @@ def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> Data
     links = common.cut(verify(tested, texts, least))
     labels = components(links)
     labelled = full.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", F.coalesce("label", "uid").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
+    mixed = common.cut(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"))
     open_ = common.cut(labelled.join(mixed, "band").groupBy("uid").agg(F.first("label").alias("label")))
     links = links.unionByName(common.cut(verify(prefix_pairs(open_, texts, least).join(tested, ["a", "b"], "left_anti"), texts, least)))
     labels = components(links)
