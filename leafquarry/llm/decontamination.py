@@ -22,7 +22,7 @@ from leafquarry.llm import common
 
 WINDOW = 10
 #: Benchmark text that one pass holds in its tables; a larger benchmark is searched in several passes.
-PATTERN_BYTES = 32 << 20
+PATTERN_BYTES = 2 << 20
 
 
 class Searcher:
