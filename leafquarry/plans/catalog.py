@@ -488,6 +488,32 @@ def page_kinds(spark, sf_dir):
     return render.page_kinds(render.page_layers(containers.chunks(_pictures(spark, sf_dir))))
 
 
+@query("SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) AS n_blits, CAST(9 * p_size AS BIGINT) AS n_ink, CAST(4 * p_size AS INTEGER) AS xmax FROM part")
+def placed_shapes(spark, sf_dir):
+    """Placements joined to their shapes: ink and right edge of each page without composing it."""
+    from leafquarry.operators import images, render
+
+    m = images.masks(render.page_layers(containers.chunks(_pictures(spark, sf_dir))))
+    placed = images.placed_shapes(images.blits(m), images.shapes(m))
+    return placed.groupBy("doc_id").agg(F.count("*").alias("n_blits"), F.sum("n_ink").alias("n_ink"), F.max(F.col("left") + F.col("width")).alias("xmax"))
+
+
+@query("SELECT p_partkey AS doc_id, CAST(p_size AS BIGINT) AS n_red FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 0 FROM part WHERE p_partkey % 2 = 1")
+def blit_colors(spark, sf_dir):
+    from leafquarry.operators import images, render
+
+    layers = render.page_layers(containers.chunks(_pictures(spark, sf_dir)))
+    colored = images.blit_colors(images.blits(images.masks(layers)), images.palettes(layers))
+    return colored.groupBy("doc_id").agg(F.sum(F.when(F.col("color.r") == 255, 1).otherwise(0)).alias("n_red"))
+
+
+@query("SELECT p_partkey AS doc_id, 'BG44' AS chunk_type, 0 AS serial, 60 AS slices, 1 AS major, 2 AS minor, true AS is_color, CAST(4 * p_size + 2 AS INTEGER) AS width, 12 AS height, 10 AS crcb_delay, false AS crcb_half FROM part WHERE p_partkey % 3 = 0")
+def wavelet_headers(spark, sf_dir):
+    from leafquarry.operators import images
+
+    return images.wavelet_headers(containers.chunks(_pictures(spark, sf_dir))).drop("node_id")
+
+
 @query("SELECT doc_id, NULL::VARCHAR AS error FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'no container header' FROM documents WHERE doc_id % 2 = 1")
 def parse_errors(spark, sf_dir):
     """Broken files give an error row each and leave the others alone."""
