@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions alone.
 
-A block is a line of a text; it meets a template if it holds THRESHOLD of the template's distinct words. The
-templates are a stated query set, searched in all rows. Their words are ordered by how many documents
-have them, rarest first, so that a block that meets template T shares one of T's first |T| - need + 1 words
-(prefix filter). Of the blocks that do, those with fewer template words than needed go (length filter),
+A block is a line of a text, or a window of as many consecutive words as the template has, over line ends; it meets
+a template if it holds THRESHOLD of the template's distinct words. Windows are compared only in texts that
+hold so many words of the template at all. The templates are a stated query set, searched in all rows. Their words are ordered by how many documents
+have them, rarest first, so that a line that meets template T shares one of T's first |T| - need + 1 words
+(prefix filter). Of the lines that do, those with fewer template words than needed go (length filter),
 then those in which the words after the first common one, in that order, are too few on either side
 (positional filter), and the rest are compared exactly. The filters decide what is compared, never the result.
 
@@ -78,8 +79,9 @@ def order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document; `blocks` has the lines that meet a template, as struct(line, label, share)."""
+    """One row for each document; `blocks` has the lines that meet a template, as struct(line, label, share), `windows` the windows, as struct(word, label, share)."""
     split = [(sorted(set(words.split())), label) for words, label in templates]
+    lengths = [len(words.split()) for words, _ in templates]
     docs = common.pick(docs, "doc_id", "text")
     rank = {w: k for k, w in enumerate(order(docs, sorted({w for t, _ in split for w in t})))}
     split = [(sorted(t, key=rank.__getitem__), label) for t, label in split]
@@ -117,20 +119,33 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         return F.filter(F.transform("b", share), lambda x: x.share.isNotNull())
 
     base = base.withColumn("blocks", F.when(F.size("b") > 0, F.concat(*[meets(t, label) for t, label in split])).otherwise(F.array().cast("array<struct<line:int,label:string,share:double>>")))
+    # windows: word positions from which a template's length of words holds enough of it
+    base = base.withColumn("held", F.when(F.col("p").rlike(_any_word(prefix)), F.array_intersect(_array(vocabulary), F.split("p", " "))).otherwise(_array([])))
+    enough = lambda words: F.size(F.array_intersect(_array(words), F.col("held"))) >= need(words, threshold)
+    base = base.withColumn("v", F.when(reduce(lambda a, b: a | b, [enough(t) for t, _ in split]), words_of(F.col("p"))).otherwise(_array([])))
+
+    def stretches(words: list[str], label: str, length: int) -> Column:
+        alpha, t = need(words, threshold), _array(words)
+        n = lambda i: F.size(F.array_intersect(t, F.slice(F.col("v"), i + 1, F.lit(length))))
+        counted = F.transform(F.sequence(F.lit(0), F.greatest(F.size("v") - length, F.lit(0))), lambda i: F.struct(i.alias("word"), n(i).alias("n")))
+        met = F.transform(F.filter(counted, lambda x: x.n >= alpha), lambda x: F.struct(x.word.alias("word"), F.lit(label).alias("label"), (x.n / F.lit(float(len(words)))).alias("share")))
+        return F.when(enough(words), met).otherwise(F.array().cast("array<struct<word:int,label:string,share:double>>"))
+
+    base = base.withColumn("windows", F.when(F.size("v") > 0, F.concat(*[stretches(t, label, n) for (t, label), n in zip(split, lengths, strict=True)])).otherwise(F.array().cast("array<struct<word:int,label:string,share:double>>")))
     every = F.concat(*[F.col(f"at{k}") for k in range(len(phrases))])
     own = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull())))
-    out = base.select("doc_id", "n_words", "blocks", every.alias("every"), own.alias("own"))
+    out = base.select("doc_id", "n_words", "blocks", "windows", every.alias("every"), own.alias("own"))
     return out.select(
         "doc_id", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
         F.array_join("own", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat("own", F.transform("blocks", lambda x: x.label)))), ",").alias("labels"),
-        F.when(F.size("own") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x.share)), F.lit(0.0))).alias("score"),
-        "blocks",
+        F.array_join(F.array_sort(F.array_distinct(F.concat("own", F.transform("blocks", lambda x: x.label), F.transform("windows", lambda x: x.label)))), ",").alias("labels"),
+        F.when(F.size("own") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.concat(F.transform("blocks", lambda x: x.share), F.transform("windows", lambda x: x.share))), F.lit(0.0))).alias("score"),
+        "blocks", "windows",
     )
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents")).drop("blocks")
+    return scan(common.table(spark, sf_dir, "documents")).drop("blocks", "windows")
 
 
 def _oracle() -> str:

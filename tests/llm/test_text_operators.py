@@ -56,6 +56,42 @@ def test_license_filters_lose_nothing(frame):
         assert got[i] == want, t
 
 
+WRAPPED = {
+    "bsd": "Copyright (c) someone.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. x",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy\n * of the MPL */",
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public\r\n# License as published",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation\nfiles (the Software)",
+}
+
+
+def test_license_wrapped_templates(frame):
+    texts = list(WRAPPED.values())
+    got = {r.doc_id: r for r in licenses.scan(frame(list(enumerate(texts)))).collect()}
+    for k, label in enumerate(WRAPPED):
+        assert label in got[k].labels.split(",") and got[k].score >= 0.9 and not got[k].blocks, label
+
+
+def test_license_windows_against_brute_force(frame):
+    r = random.Random(15)
+    texts = list(WRAPPED.values()) + ["", "a"]
+    for _ in range(80):
+        words = r.choice(licenses.TEMPLATES)[0].split()
+        for _ in range(r.choice((0, 0, 1, 2, 4))):
+            words[r.randrange(len(words))] = r.choice(VOCABULARY)
+        texts.append("".join(w + r.choice((" ", " ", "\n", ",\n\n")) for w in [*r.choices(VOCABULARY, k=r.randrange(9)), *words, *r.choices(VOCABULARY, k=r.randrange(9))]))
+    got = {x.doc_id: x for x in licenses.scan(frame(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        ws, want = plain(t), set()
+        for words, label in licenses.TEMPLATES:
+            t_set, n = set(words.split()), len(words.split())
+            for k in range(max(1, len(ws) - n + 1)):
+                share = len(t_set & set(ws[k : k + n])) / len(t_set)
+                if share >= licenses.THRESHOLD - 1e-9:
+                    want.add((k, label, round(share, 9)))
+        assert {(x.word, x.label, round(x.share, 9)) for x in got[i].windows} == want, t
+        assert {x[1] for x in want} <= set(got[i].labels.split(","))
+
+
 # decontamination
 
 
