@@ -12,10 +12,14 @@ buckets that still hold several components, an exact prefix filter over their sh
 of different components that can be linked, and these are compared too; a pair within a component
 needs no comparison. Components come by large-star and small-star steps over tables; nothing is collected.
 
+A text is held by a larger one of another group if their common shingles are at least `least` of the smaller set. These
+directed links are found exactly, in texts of any larger size: of the shingles that several groups have, a held text shares one of its
+rarest with its holder (prefix filter on the smaller side, all shingles on the larger).
+
 Defined results: words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased (if a text has none: of
 anything but white space); fewer than five words are one shingle; a text without words (or null) is
 alone; a null doc_id comes last; class_id is the smallest doc_id of the group (null if it has none); an empty table
-gives no row. The input has to give its rows in the same order when read again, as a table does.
+gives no row; held_by is the smallest doc_id of the texts that hold a text, n_holders how many different sets do. The input has to give its rows in the same order when read again, as a table does.
 """
 
 from __future__ import annotations
@@ -116,8 +120,8 @@ def _sets(keyed: DataFrame, least: float, hashes: int) -> DataFrame:
     return common.map_columns(keyed.select(F.col("lq_uid").alias("uid"), F.col("lq_key").alias("key"), common.bytes_of("text").alias("body")), run, "uid long, key long, n long, same binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose exact sets have common shingles of at least `least` of the larger set."""
+def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST, of=max) -> DataFrame:
+    """The pairs (a, b) whose exact sets have common shingles of at least `least` of the larger set (with of=min, of the smaller)."""
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -133,7 +137,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFram
             keep = []
             for u, x, v, y in zip(b["a"], b["ta"], b["b"], b["tb"], strict=True):
                 one, other = sets(u, x), sets(v, y)
-                need = least * max(len(one), len(other), 1) - 1e-9
+                need = least * max(of(len(one), len(other)), 1) - 1e-9
                 keep.append(min(len(one), len(other)) >= need and len(np.intersect1d(one, other, assume_unique=True)) >= need)
             yield {"a": [v for v, k in zip(b["a"], keep, strict=True) if k], "b": [v for v, k in zip(b["b"], keep, strict=True) if k]}
 
@@ -168,6 +172,31 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     return heads.alias("x").join(heads.alias("y"), "h").filter("x.label != y.label and x.uid > y.uid").filter(room).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
+def holders(got: DataFrame, keyed: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of texts, each the first of its equal sets, of different groups, where the larger set of b has `least` of a's."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t) for t in b["body"]]
+            yield {"uid": b["uid"], "label": b["label"], "n": [len(h) for h in sets], "h": [common.signed(h).tolist() for h in sets]}
+
+    own = got.filter("n > 0 and uid = rep").select("uid", F.col("class_uid").alias("label"))
+    texts = keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")).join(own, "uid")
+    sets = common.map_columns(texts, run, "uid long, label long, n long, h array<long>")
+    rows = common.cut(sets.select("uid", "label", "n", F.explode("h").alias("h")))
+    mixed = common.cut(rows.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h", "df"))
+    rows = common.cut(rows.join(mixed, "h"))
+    need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    some = rows.groupBy("uid").agg(F.first("n").alias("n"), F.count("*").alias("shared")).filter(F.col("shared") >= need).select("uid", (F.col("shared") - need + 1).cast("int").alias("first"))
+    some = common.cut(some)
+    heads = rows.join(some, "uid").groupBy("uid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    heads = common.cut(heads.select("uid", "label", "n", F.explode(F.expr("slice(s, 1, first)")).alias("x")).select("uid", "label", "n", "x.h"))
+    pairs = heads.alias("x").join(rows.alias("y"), "h").filter("x.label != y.label and x.n < y.n").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    pairs = common.cut(pairs)
+    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    return common.cut(verify(pairs, common.cut(texts.select("uid", "body").join(wanted, "uid", "left_semi")), least, min))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for each node of the undirected edges (a, b) the least node of its component."""
     edges = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
@@ -187,7 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> DataFrame:
-    """(uid, key, n, class_uid): class_uid is the same for all documents of a near-copy group."""
+    """(uid, key, n, rep, class_uid): class_uid is the same for all documents of a near-copy group, rep for all of equal sets."""
     sets = common.cut(_sets(keyed, least, hashes))
     slim = sets.select("uid", "key", "n", "same")
     reps = sets.filter("same is not null").groupBy("same").agg(F.min("uid").alias("rep"))
@@ -209,7 +238,7 @@ def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> Data
     open_ = common.cut(labelled.join(mixed, "band").groupBy("uid").agg(F.first("label").alias("label")))
     links = links.unionByName(common.cut(verify(prefix_pairs(open_, texts, least).join(tested, ["a", "b"], "left_anti"), texts, least)))
     labels = components(links)
-    return members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("uid", "key", "n", F.coalesce("label", "rep").alias("class_uid"))
+    return members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("uid", "key", "n", "rep", F.coalesce("label", "rep").alias("class_uid"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -217,18 +246,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row for each document: doc_id, class_id, n_shingles."""
-    got = common.cut(groups(_keyed(common.pick(docs, "doc_id", "text")), least))
+    """One row for each document: doc_id, class_id, n_shingles, held_by, n_holders."""
+    keyed = _keyed(common.pick(docs, "doc_id", "text"))
+    got = common.cut(groups(keyed, least))
+    keys = got.groupBy("rep").agg(F.min("key").alias("holder"))
+    held = holders(got, keyed, least).join(keys.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.min("holder").alias("holder"), F.count("*").alias("n_holders"))
     ids = got.groupBy("class_uid").agg(F.min("key").alias("class_key"))
     real = lambda c: F.when(F.col(c) != common.NULL_ID, F.col(c))
-    return got.join(ids, "class_uid").select(real("key").alias("doc_id"), real("class_key").alias("class_id"), F.col("n").alias("n_shingles"))
+    got = got.join(ids, "class_uid").join(held.withColumnRenamed("a", "rep"), "rep", "left")
+    return got.select(real("key").alias("doc_id"), real("class_key").alias("class_id"), F.col("n").alias("n_shingles"), real("holder").alias("held_by"), F.coalesce("n_holders", F.lit(0)).alias("n_holders"))
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs without all but one document (smallest doc_id, first row) of each group."""
+    """docs without all but one document (smallest doc_id, first row) of each group, and without those that a larger text holds.
+
+    A held document goes only if the document that is left of its holder's group is larger too, so that never all of a ring go.
+    """
     keyed = _keyed(docs)
     got = common.cut(groups(keyed, least))
-    best = got.groupBy("class_uid").agg(F.min(F.struct("key", "uid")).alias("b")).select(F.col("b.uid").alias("lq_uid"))
+    best = common.cut(got.groupBy("class_uid").agg(F.min(F.struct("key", "uid", "n", "rep")).alias("b")).select("class_uid", F.col("b.uid").alias("lq_uid"), F.col("b.n").alias("n"), F.col("b.rep").alias("rep")))
+    over = got.filter("uid = rep").select(F.col("uid").alias("b"), "class_uid").join(best.select("class_uid", F.col("n").alias("left_n")), "class_uid").select("b", "left_n")
+    held = holders(got, keyed, least).join(over, "b").groupBy("a").agg(F.max("left_n").alias("left_n"))
+    best = best.join(held.withColumnRenamed("a", "rep"), "rep", "left").filter("left_n is null or left_n <= n").select("lq_uid")
     return keyed.join(best, "lq_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

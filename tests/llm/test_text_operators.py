@@ -361,6 +361,20 @@ def test_near_groups_against_brute_force(frame, empty):
     assert near.report(empty).collect() == [] and near.keep_one(empty).collect() == []
 
 
+def test_near_held_texts(frame):
+    r = random.Random(16)
+    base = prose(400, r).split()
+    docs = [(1, " ".join(base)), (2, " ".join(base[100:160])), (3, " ".join(base[200:203])), (4, edited(base[20:220], 3, r)), (5, prose(60, r)), (6, " ".join(base[100:160])), (7, " ".join(base[:40]) + " " + prose(40, r)), (8, "")]
+    sets = [set(near.shingles(t.encode()).tolist()) for _, t in docs]
+    want = {}
+    for (d, _), a in zip(docs, sets, strict=True):
+        want[d] = min((e for (e, _), b in zip(docs, sets, strict=True) if a and len(a) < len(b) and 0.8 * len(b) > len(a & b) >= 0.8 * len(a) - 1e-9), default=None)
+    assert want[2] == want[4] == want[6] == 1 and want[7] is None
+    df = frame(docs)
+    assert {x.doc_id: x.held_by for x in near.report(df).collect()} == want
+    assert {x.doc_id for x in near.keep_one(df).collect()} == {1, 3, 5, 7, 8}
+
+
 def test_banding_meets_its_bound():
     for k in range(2, 16):
         bands, rows = near.banding(k)
