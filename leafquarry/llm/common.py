@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is absent (tests on one machine), a temporary folder is set
-    for the session first.
+    Where the setting is absent, a temporary folder is set for a session whose executors are threads of the
+    driver; on a cluster that would lose results, and is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="leafquarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/leafquarry/{uuid.uuid4().hex}"
@@ -37,12 +39,43 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to a table in the shared folder and read it back.
 
     What follows no longer depends on shuffle files or on recomputing df, so a lost
-    executor costs only the tasks that it ran. The folder belongs to the cluster's
-    checkpoint area and is cleaned with it.
+    executor costs only the tasks that it ran. `discard` deletes large ones when they are done with; the
+    rest belongs to the cluster's checkpoint area and is cleaned with it.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lq_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.lq_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row in the column `name`, written once.
+
+    Numbers are given in the one job that writes the table. Everything later reads them from there, so they
+    stay the same however the input is split when it is read again.
+    """
+    return cut(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """A numbered table of docs with uid, key (doc_id, null ids last) and text; the other columns are c0, c1, ... by place, as they may have any names."""
+    at = {c: i for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*["text" if i == at["text"] else f"c{i}" for i in range(len(docs.columns))])
+    return numbered(inner.withColumn("key", F.coalesce(f"c{at['doc_id']}", F.lit(NULL_ID))), "uid")
+
+
+def unkeyed(keyed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from rows of keyed(docs)."""
+    return keyed.select(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -53,19 +86,54 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
+#: Arrow data that a function sees at a time; one row may be larger.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        step = max(1, int(b.num_rows * SLICE_BYTES / max(b.nbytes, 1)))
+        for lo in range(0, b.num_rows, step):
+            yield b.slice(lo, step)
+
+
+_held: dict = {}
+
+
+def hold(name, make: Callable):
+    """The one large object that a worker keeps between tasks. Asking for another one lets it go, as workers serve one operator after the other."""
+    if name not in _held:
+        _held.clear()
+        settle()
+        _held[name] = make()
+    return _held[name]
+
+
+def settle() -> None:
+    """Give memory that is free back to the system at the end of a task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str, arrays: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow over Python lists: fn gets an iterator of {column: list} and yields the same.
 
-    Arrow cuts batches by rows and by bytes, so a partition is never held as a whole.
+    fn gets slices of SLICE_BYTES or so, so a partition is never held as a whole. Columns named in `arrays` stay Arrow arrays.
     """
     target = schema_of(df.sparkSession, schema)
 
     def run(batches):
         names = [f.name for f in target]
-        lists = ({c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)} for b in batches)
+        lists = ({c: b.column(i) if c in arrays else b.column(i).to_pylist() for i, c in enumerate(b.schema.names)} for b in slices(batches))
         for out in fn(lists):
             for lo in range(0, max(1, len(out[names[0]])), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name][lo : lo + 20_000], type=f.type) for f in target], names=names)
+        settle()
 
     return df.mapInArrow(run, schema)
 
@@ -158,7 +226,7 @@ def append_columns(df: DataFrame, needs: list[str], fn: Callable[[Iterator[dict]
         seen = []
 
         def lists():
-            for b in batches:
+            for b in slices(batches):
                 seen.append(b)
                 yield {c: (b.column(c).cast(pa.binary()) if pa.types.is_string(b.column(c).type) or pa.types.is_large_string(b.column(c).type) else b.column(c)).to_pylist() for c in needs}
 
@@ -166,6 +234,7 @@ def append_columns(df: DataFrame, needs: list[str], fn: Callable[[Iterator[dict]
             b = seen.pop(0)
             new = [pa.array(out[f.name], type=f.type) for f in extra]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *extra.names])
+        settle()
 
     return df.mapInArrow(run, full)
 

@@ -77,8 +77,9 @@ def local_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
             return out
 
         for b in batches:
-            for doc, ids in zip(b["doc_id"], tokens.encoder(tokenizer_path).encode(b["text"]), strict=True):
-                start = 0
+            every, at = tokens.encoder(tokenizer_path).encode(b["text"])
+            for doc, lo, hi in zip(b["doc_id"], at.tolist(), at[1:].tolist(), strict=False):
+                ids, start = every[lo:hi], 0
                 for piece, n in enumerate(cut_lengths(len(ids), capacity)):
                     for c, v in zip(held, (doc, piece, start, n, zlib.crc32(ids[start : start + n])), strict=True):
                         held[c].append(v)
@@ -89,7 +90,7 @@ def local_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
         if held["doc_id"]:
             yield pack()
 
-    return common.map_columns(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long")
+    return common.map_columns(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long", arrays=("text",))
 
 
 def merge_bins(level: int, capacity: int):

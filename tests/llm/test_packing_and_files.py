@@ -33,20 +33,48 @@ def test_cut_lengths(n):
     assert sum(parts) == n and all(p == 1024 for p in parts[1:]) and all(0 < p <= 1024 for p in parts)
 
 
-ODD = ["", " ", "  a", "a  b", "a \n b", " x  y z\x1c w", "<|endoftext|> a", "don't 've", "trail ", "日本 語", "x \x85y", "a" * 3000, " " * 2000]
+ODD = ["x <|endoftext|> y. z", "a.\nb c\td", "l'a, \u00a0b \u3000 c\u1680 d\u0085 e\u2009 f", "é. à b\nç", "I.e., U.S.A.: 95.77.253.173 x", "\r\n a\x0b b\x0cc\n", ".a", " .a !!b", "\n", "a\n", " a ", "", " ", "  a", "a  b", "a \n b", " x  y z\x1c w", "<|endoftext|> a", "don't 've", "trail ", "日本 語", "x \x85y", "a" * 3000, " " * 2000]
 
 
-@given(st.one_of(st.sampled_from(ODD), st.text(max_size=60), st.text(alphabet=" \n\tab'.,!?;1é", max_size=80)))
-@settings(max_examples=200, deadline=None)
-def test_pieces_have_the_ids_of_the_whole_text(text):
-    assert tokens.encoder().encode([text])[0].tolist() == library_ids(text)
+def encoded(e, texts):
+    ids, at = e.encode(texts)
+    return [ids[lo:hi].tolist() for lo, hi in zip(at, at[1:], strict=False)]
 
 
-def test_small_cache_gives_the_same_ids():
-    e = tokens.Encoder(tokens.vocabulary(), cached=3)
-    texts = ["some words of a text", "other words of it", "some more words", None]
-    for _ in range(2):
-        assert [i.tolist() for i in e.encode(texts)] == [library_ids(t) for t in texts]
+@given(st.lists(st.one_of(st.sampled_from(ODD), st.none(), st.text(max_size=60), st.text(alphabet=" \n\tab'.,!?;1é\x85\u00a0\u2003à日", max_size=80)), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_pieces_have_the_ids_of_the_whole_text(texts):
+    assert encoded(tokens.encoder(), texts) == [library_ids(t) for t in texts]
+
+
+def test_odd_texts_together():
+    assert encoded(tokens.encoder(), ODD) == [library_ids(t) for t in ODD]
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 7])
+def test_blocks_give_the_same_cuts(block, monkeypatch):
+    data = np.frombuffer(" ".join(ODD).encode(), np.uint8)
+    want = tokens.cuts(data)
+    monkeypatch.setattr(tokens, "BLOCK", block)
+    assert (tokens.cuts(data) == want).all()
+
+
+@pytest.mark.parametrize("most", [0, 400])
+def test_small_cache_gives_the_same_ids(most, monkeypatch):
+    monkeypatch.setattr(tokens, "BYTES", 30)
+    e = tokens.Encoder(tokens.vocabulary(), cache_bytes=most)
+    texts = ["some words of a text", "other words of it", "some more words", None, "a <|endoftext|> b", "words, words. and"]
+    for _ in range(3):
+        assert encoded(e, texts) == [library_ids(t) for t in texts]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    plain, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    texts = ["Some Words,  of a <|endoftext|> text.", "", "x\ny"]
+    assert not e.cuttable and encoded(e, texts) == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
 def check_pieces(rows, expected):
@@ -109,11 +137,33 @@ def test_token_files_have_an_index_and_a_dictionary(spark, frame, tmp_path, monk
     for s in shards:
         offsets = np.frombuffer(s.offsets, "<u8")
         assert offsets[0] == 0 and offsets[-1] == len(s.data) and len(offsets) == len(s.known) + 1
-    spark.createDataFrame([("0" * 64, bytearray(b"no"), 2)], "dict_sha256 string, dictionary binary, width int").write.mode("overwrite").parquet(f"{path}/dictionary")
+    spark.createDataFrame([("0" * 64, bytearray(b"no"), "trained", 2)], "dict_sha256 string, dictionary binary, kind string, width int").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError, match="own hash"):
         token_files.read_token_files(spark, path)
 
 
+def test_token_files_need_the_ids_that_were_written(spark, frame, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = token_files.write_token_files(frame([(i, f"text {i}") for i in range(9)]), str(tmp_path / "files"))
+    known = spark.read.parquet(f"{path}/dictionary").first()
+    assert known.kind in ("trained", "content") and known.width == 2
+    spark.read.parquet(f"{path}/shards").withColumn("crcs", F.unhex(F.repeat(F.lit("00"), 36))).coalesce(1).write.parquet(f"{path}/other")
+    (tmp_path / "files/shards").rename(tmp_path / "files/old")
+    (tmp_path / "files/other").rename(tmp_path / "files/shards")
+    with pytest.raises(Exception, match="written with"):
+        token_files.read_token_files(spark, path).collect()
+
+
+def test_a_trained_dictionary_serves_long_and_short_documents(spark, frame, tmp_path):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"word{k}" for k in r.integers(0, 200, int(r.integers(1, 600))))) for i in range(200)]
+    path = token_files.write_token_files(frame(rows), str(tmp_path / "files"))
+    assert spark.read.parquet(f"{path}/dictionary").first().kind == "trained"
+    got = token_files.read_token_files(spark, path, with_ids=True).collect()
+    assert {x.doc_id: x.ids for x in got} == {d: library_ids(t) for d, t in rows}
+
+
 def test_token_files_empty(spark, empty, tmp_path):
     path = token_files.write_token_files(empty, str(tmp_path / "files"))
     assert token_files.read_token_files(spark, path).collect() == []
