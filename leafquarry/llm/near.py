@@ -12,14 +12,19 @@ buckets that still hold several components, an exact prefix filter over their sh
 of different components that can be linked, and these are compared too; a pair within a component
 needs no comparison. Components come by large-star and small-star steps over tables; nothing is collected.
 
-A text is held by a larger one of another group if their common shingles are at least `least` of the smaller set. These
-directed links are found exactly, in texts of any larger size: of the shingles that several groups have, a held text shares one of its
-rarest with its holder (prefix filter on the smaller side, all shingles on the larger).
+Groups are linked by their representatives (smallest doc_id, then text): one is held by a larger one of another group if their common shingles are at least `least` of the smaller set. For
+these directed links the size partitions alone decide nothing: a text of 20 shingles in one of 20,000 has Jaccard similarity 0.001, which no
+banding finds. They come from bottom sketches: the SAMPLE least hashes of a set, which a holder has to hold at the rate of
+the whole set. Every text looks all its shingles up among the samples (a bit table of at most FILTER_BITS thins out what is
+shuffled, never the result); a text is held only if enough of its sample stands in other groups, and then its
+rarest such shingles lead to candidates, which are compared exactly. Sets of SAMPLE shingles at most are their own sample, and lose nothing;
+a larger set that is held by exactly `least` is missed with a chance of 0.002 at most.
 
 Defined results: words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased (if a text has none: of
 anything but white space); fewer than five words are one shingle; a text without words (or null) is
 alone; a null doc_id comes last; class_id is the smallest doc_id of the group (null if it has none); an empty table
-gives no row; held_by is the smallest doc_id of the texts that hold a text, n_holders how many different sets do. The input has to give its rows in the same order when read again, as a table does.
+gives no row; held_by is the smallest class_id of the groups whose representative holds that of a row's group (null: none), n_holders
+how many do. Rows get their numbers in one job that writes them, so that reading the input again in another order changes nothing.
 """
 
 from __future__ import annotations
@@ -37,8 +42,13 @@ from leafquarry.llm import common
 WORDS, LEAST, HASHES = 5, 0.8, 128
 #: A pair at the threshold itself may miss all bands with this chance at most, where HASHES allows it.
 MISS = 1e-3
-#: Shingle sets that a task keeps while it compares pairs.
-HELD = 2000
+#: Shingles in the sets that a task keeps while it compares pairs.
+HELD = 4_000_000
+#: Least hashes that stand for a set when larger texts are searched for it, and how many of them a holder must have.
+SAMPLE, SAMPLE_NEED = 24, 13
+#: The most bits of the table of sampled hashes (16 MB), whatever the input. 16 bits a hash let 1 of 60 others pass; with more hashes
+#: than bits nearly all pass and are shuffled, to the same result.
+FILTER_BITS = 1 << 27
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
@@ -110,14 +120,15 @@ def bands(h: np.ndarray, least: float = LEAST, hashes: int = HASHES) -> list[int
 def _sets(keyed: DataFrame, least: float, hashes: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            got = [shingles(t) for t in b["body"]]
+            got = [shingles(t) for t in b["text"]]
             yield {
                 "uid": b["uid"], "key": b["key"], "n": [len(h) for h in got],
                 "same": [hashlib.md5(h).digest() if len(h) else None for h in got],
                 "bands": [bands(h, least, hashes) if len(h) else [] for h in got],
+                "low": [common.signed(h[:SAMPLE]).tolist() for h in got],
             }
 
-    return common.map_columns(keyed.select(F.col("lq_uid").alias("uid"), F.col("lq_key").alias("key"), common.bytes_of("text").alias("body")), run, "uid long, key long, n long, same binary, bands array<long>")
+    return common.map_columns(keyed.select("uid", "key", common.bytes_of("text").alias("text")), run, "uid long, key long, n long, same binary, bands array<long>, low array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST, of=max) -> DataFrame:
@@ -125,12 +136,16 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST, of=max) ->
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
+        size = 0
 
         def sets(uid: int, text: bytes) -> np.ndarray:
+            nonlocal size
             if uid not in held:
-                if len(held) >= HELD:
+                if size > HELD:
                     held.clear()
+                    size = 0
                 held[uid] = shingles(text)
+                size += len(held[uid])
             return held[uid]
 
         for b in batches:
@@ -168,33 +183,106 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     heads = common.cut(heads.join(open_, "uid"))
     mixed = common.cut(heads.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h"))
     heads = common.cut(heads.join(mixed, "h"))
+    common.discard(sets, shared)
     room = F.least("x.rest", "y.rest") >= F.ceil(F.lit(least) * F.greatest("x.n", "y.n") - 1e-9)  # true at the first common shingle of a linked pair
     return heads.alias("x").join(heads.alias("y"), "h").filter("x.label != y.label and x.uid > y.uid").filter(room).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
-def holders(got: DataFrame, keyed: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of texts, each the first of its equal sets, of different groups, where the larger set of b has `least` of a's."""
+def _bit_table(low: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, table): a bit for each of n hashes in the arrays `low`. Tasks set bits in tables of their own, which are joined by segment."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    segment = min(bits // 8, 1 << 18)
+
+    def part(batches):
+        own = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = np.fromiter((x for h in b["low"] for x in h), np.int64).view(np.uint64) & np.uint64(bits - 1)
+            np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        own = own.reshape(-1, segment)
+        for k in np.flatnonzero(own.any(axis=1)).tolist():
+            yield {"k": [k], "bits": [own[k].tobytes()]}
+
+    def join(batches):
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b["k"], b["bits"], strict=True):
+                own[k] = own.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
+        if own:
+            yield {"k": list(own), "bits": [x.tobytes() for x in own.values()]}
+
+    parts = common.map_columns(low.select("low"), part, "k int, bits binary").repartition("k")
+    table = np.zeros((bits // 8 // segment, segment), np.uint8)
+    for r in common.map_columns(parts, join, "k int, bits binary").toLocalIterator():
+        table[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits, table.reshape(-1)
+
+
+def _lookups(keyed: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
+    """(uid, h): the shingles of every text whose bit is set."""
+    held = keyed.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        here = held.value
+        for b in batches:
+            uids, hs = [], []
+            for uid, text in zip(b["uid"], b["text"], strict=True):
+                h = shingles(text)
+                at = h & np.uint64(bits - 1)
+                h = h[(here[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0]
+                uids.append(np.full(len(h), uid, np.int64))
+                hs.append(common.signed(h))
+            yield {"uid": np.concatenate([np.zeros(0, np.int64), *uids]), "h": np.concatenate([np.zeros(0, np.int64), *hs])}
+
+    return common.map_columns(keyed.select("uid", common.bytes_of("text").alias("text")), run, "uid long, h long")
+
+
+def _offers(own: DataFrame, low: DataFrame, entries: int, texts: DataFrame, need) -> tuple[DataFrame, DataFrame]:
+    """(heads, rows) for hashes `low` (uid, n, low) that stand for sets and all shingles of texts (uid, text), both of `own` (uid, n).
+
+    A set is left if `need` of its hashes stand in larger sets; its head is so many of them, rarest first, that a holder has
+    one. rows: (h, uid, n) of all texts for the hashes in heads.
+    """
+    bits, table = _bit_table(low, entries)
+    rows = common.cut(_lookups(texts, bits, table).join(own, "uid"))
+    # sums are tables of their own, as above
+    several = common.cut(rows.groupBy("h").agg(F.count("*").alias("df"), F.max("n").alias("largest")).filter("df > 1"))
+    sample = low.select("uid", "n", F.explode("low").alias("h")).join(several, "h").filter("largest > n")
+    sample = sample.groupBy("uid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))  # as many as `low` has
+    heads = common.cut(sample.withColumn("first", (F.size("s") - need + 1).cast("int")).filter("first > 0").select("uid", "n", F.explode(F.expr("slice(s, 1, first)")).alias("x")).select("uid", "n", "x.h"))
+    wanted = common.cut(heads.select("h").distinct())
+    found = common.cut(rows.join(wanted, "h"))
+    common.discard(rows, several)
+    return heads, found
+
+
+def holders(firsts: DataFrame, sets: DataFrame, keyed: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of the representatives `firsts` (uid, n) of groups, where the larger set of b has `least` of a's.
+
+    Once with samples over all texts, then with whole sets over the texts that this leaves, then pair by pair.
+    """
+    own = common.cut(firsts.filter("n > 0").select("uid", "n"))
+    low = common.cut(sets.select("uid", "low").join(own, "uid"))
+    whole = F.ceil(F.lit(least) * F.col("n") - 1e-9)
+    heads, rows = _offers(own, low, SAMPLE * low.count(), keyed.select("uid", "text"), F.when(F.col("n") <= SAMPLE, whole).otherwise(math.ceil(SAMPLE_NEED * least / LEAST)))
+    few, some = common.cut(heads.select("uid").distinct()), common.cut(rows.select("uid").distinct())
+    common.discard(low, heads, rows)
+    texts = common.cut(keyed.select("uid", "text").join(some, "uid", "left_semi"))
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t) for t in b["body"]]
-            yield {"uid": b["uid"], "label": b["label"], "n": [len(h) for h in sets], "h": [common.signed(h).tolist() for h in sets]}
-
-    own = got.filter("n > 0 and uid = rep").select("uid", F.col("class_uid").alias("label"))
-    texts = keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")).join(own, "uid")
-    sets = common.map_columns(texts, run, "uid long, label long, n long, h array<long>")
-    rows = common.cut(sets.select("uid", "label", "n", F.explode("h").alias("h")))
-    mixed = common.cut(rows.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("h", "df"))
-    rows = common.cut(rows.join(mixed, "h"))
-    need = F.ceil(F.lit(least) * F.col("n") - 1e-9)
-    some = rows.groupBy("uid").agg(F.first("n").alias("n"), F.count("*").alias("shared")).filter(F.col("shared") >= need).select("uid", (F.col("shared") - need + 1).cast("int").alias("first"))
-    some = common.cut(some)
-    heads = rows.join(some, "uid").groupBy("uid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.first("first").alias("first"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
-    heads = common.cut(heads.select("uid", "label", "n", F.explode(F.expr("slice(s, 1, first)")).alias("x")).select("uid", "label", "n", "x.h"))
-    pairs = heads.alias("x").join(rows.alias("y"), "h").filter("x.label != y.label and x.n < y.n").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    pairs = common.cut(pairs)
+            yield {"uid": b["uid"], "low": [common.signed(shingles(t)).tolist() for t in b["text"]]}
+
+    full = common.map_columns(texts.join(few, "uid", "left_semi").select("uid", common.bytes_of("text").alias("text")), run, "uid long, low array<long>")
+    full = common.cut(full.join(own, "uid"))
+    heads, rows = _offers(own, full, full.agg(F.sum("n")).first()[0] or 0, texts, whole)
+    pairs = heads.alias("x").join(rows.alias("y"), "h").filter("x.n < y.n").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+    return common.cut(verify(common.cut(pairs), texts.select("uid", common.bytes_of("text").alias("body")), least, min))
+
+
+def _texts(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(uid, body) of the texts in pairs (a, b), a table."""
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    return common.cut(verify(pairs, common.cut(texts.select("uid", "body").join(wanted, "uid", "left_semi")), least, min))
+    return common.cut(keyed.select("uid", common.bytes_of("text").alias("body")).join(wanted, "uid", "left_semi"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,60 +303,62 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def groups(keyed: DataFrame, least: float = LEAST, hashes: int = HASHES) -> DataFrame:
+def groups(keyed: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """(uid, key, n, rep, class_uid): class_uid is the same for all documents of a near-copy group, rep for all of equal sets."""
-    sets = common.cut(_sets(keyed, least, hashes))
     slim = sets.select("uid", "key", "n", "same")
-    reps = sets.filter("same is not null").groupBy("same").agg(F.min("uid").alias("rep"))
+    reps = common.cut(sets.filter("same is not null").groupBy("same").agg(F.min("uid").alias("rep")))
     members = common.cut(slim.join(reps, "same", "left").select("uid", "key", "n", F.coalesce("rep", "uid").alias("rep")))
     only = members.filter("uid = rep").select("uid")
     buckets = sets.join(only, "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
     # sums are tables of their own: a join with them has two plain sides, which adaptive execution can split at a hot key
     ends = common.cut(buckets.groupBy("band").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi"))
     full = common.cut(buckets.join(ends.select("band"), "band"))  # buckets of two texts or more
-    wanted = full.select("uid").distinct()
-    texts = common.cut(keyed.select(F.col("lq_uid").alias("uid"), common.bytes_of("text").alias("body")).join(wanted, "uid", "left_semi"))
     # one centre for each bucket: the least uid
     star = ends.select("band", F.col("lo").alias("b")).join(full, "band").select(F.col("uid").alias("a"), "b").filter("a != b").distinct()
     tested = common.cut(star)
+    texts = _texts(keyed, tested)
     links = common.cut(verify(tested, texts, least))
     labels = components(links)
-    labelled = full.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", F.coalesce("label", "uid").alias("label"))
+    labelled = common.cut(full.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "band", F.coalesce("label", "uid").alias("label")))
     mixed = common.cut(labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"))
     open_ = common.cut(labelled.join(mixed, "band").groupBy("uid").agg(F.first("label").alias("label")))
     links = links.unionByName(common.cut(verify(prefix_pairs(open_, texts, least).join(tested, ["a", "b"], "left_anti"), texts, least)))
     labels = components(links)
+    common.discard(ends, full, tested, texts, labelled, mixed, open_)
     return members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("uid", "key", "n", "rep", F.coalesce("label", "rep").alias("class_uid"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("*", F.monotonically_increasing_id().alias("lq_uid"), F.coalesce(F.col("doc_id"), F.lit(common.NULL_ID)).alias("lq_key"))
-
-
-def report(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def report(docs: DataFrame, least: float = LEAST, hashes: int = HASHES) -> DataFrame:
     """One row for each document: doc_id, class_id, n_shingles, held_by, n_holders."""
-    keyed = _keyed(common.pick(docs, "doc_id", "text"))
-    got = common.cut(groups(keyed, least))
-    keys = got.groupBy("rep").agg(F.min("key").alias("holder"))
-    held = holders(got, keyed, least).join(keys.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.min("holder").alias("holder"), F.count("*").alias("n_holders"))
-    ids = got.groupBy("class_uid").agg(F.min("key").alias("class_key"))
+    keyed = common.keyed(common.pick(docs, "doc_id", "text"))
+    sets = common.cut(_sets(keyed, least, hashes))
+    got = common.cut(groups(keyed, sets, least))
+    firsts = _firsts(got, sets)
+    held = holders(firsts, sets, keyed, least).join(firsts.select(F.col("uid").alias("b"), F.col("key").alias("holder")), "b").groupBy("a").agg(F.min("holder").alias("holder"), F.count("*").alias("n_holders"))
+    ids = common.cut(firsts.join(held.withColumnRenamed("a", "uid"), "uid", "left").select("class_uid", F.col("key").alias("class_key"), "holder", "n_holders"))
     real = lambda c: F.when(F.col(c) != common.NULL_ID, F.col(c))
-    got = got.join(ids, "class_uid").join(held.withColumnRenamed("a", "rep"), "rep", "left")
+    got = got.join(ids, "class_uid")
     return got.select(real("key").alias("doc_id"), real("class_key").alias("class_id"), F.col("n").alias("n_shingles"), real("holder").alias("held_by"), F.coalesce("n_holders", F.lit(0)).alias("n_holders"))
 
 
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs without all but one document (smallest doc_id, first row) of each group, and without those that a larger text holds.
+def _firsts(got: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class_uid, key, uid, n) of each group's representative: smallest key, then smallest set digest, then any of these equal rows."""
+    ordered = got.select("class_uid", "uid").join(sets.select("uid", "key", "same", "n"), "uid")
+    return common.cut(ordered.groupBy("class_uid").agg(F.min(F.struct("key", "same", "uid", "n")).alias("b")).select("class_uid", "b.key", "b.uid", "b.n"))
 
-    A held document goes only if the document that is left of its holder's group is larger too, so that never all of a ring go.
+
+def keep_one(docs: DataFrame, least: float = LEAST, hashes: int = HASHES, drop_held: bool = True) -> DataFrame:
+    """docs without all but the representative of each group, and without those that a larger one holds, which stays or is held by a larger one itself.
+
+    With drop_held = False, near copies of about equal size alone go.
     """
-    keyed = _keyed(docs)
-    got = common.cut(groups(keyed, least))
-    best = common.cut(got.groupBy("class_uid").agg(F.min(F.struct("key", "uid", "n", "rep")).alias("b")).select("class_uid", F.col("b.uid").alias("lq_uid"), F.col("b.n").alias("n"), F.col("b.rep").alias("rep")))
-    over = got.filter("uid = rep").select(F.col("uid").alias("b"), "class_uid").join(best.select("class_uid", F.col("n").alias("left_n")), "class_uid").select("b", "left_n")
-    held = holders(got, keyed, least).join(over, "b").groupBy("a").agg(F.max("left_n").alias("left_n"))
-    best = best.join(held.withColumnRenamed("a", "rep"), "rep", "left").filter("left_n is null or left_n <= n").select("lq_uid")
-    return keyed.join(best, "lq_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = common.keyed(docs)
+    sets = common.cut(_sets(keyed, least, hashes))
+    left = _firsts(common.cut(groups(keyed, sets, least)), sets)
+    if drop_held:
+        left = left.join(holders(left, sets, keyed, least).select(F.col("a").alias("uid")).distinct(), "uid", "left_anti")
+    left = left.select("uid")
+    return common.unkeyed(keyed.join(common.cut(left), "uid", "left_semi"), docs)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

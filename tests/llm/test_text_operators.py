@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from rows import EDGE, key, plain, spaced
 
 from leafquarry.llm import common, decontamination, language, licenses, near, quality, substrings, token_counts
@@ -259,13 +260,25 @@ def test_token_counts_share_prefixes():
 # substring dedup
 
 
-def brute_removed(docs, width):
+def brute_firsts(docs, width):
     firsts = {}
     for d, t in docs:
         w = spaced(t)
         for i in range(len(w) - width + 1):
             g = tuple(w[i : i + width])
             firsts[g] = min(firsts.get(g, key(d)), key(d))
+    return firsts
+
+
+def brute_removed(docs, width):
+    firsts, far, size = brute_firsts(docs, width), {}, width
+    short = [(d, t) for d, t in docs if len(spaced(t)) < 2000]  # the one very long text of the rows repeats nothing
+    while len(more := brute_firsts(short, size)):
+        for d, t in short:
+            w = spaced(t)
+            if any(more[tuple(w[i : i + size])] < key(d) for i in range(len(w) - size + 1)):
+                far[d, t] = size
+        size *= 2
     out = []
     for d, t in docs:
         w, gone = spaced(t), set()
@@ -273,7 +286,7 @@ def brute_removed(docs, width):
             if firsts[tuple(w[i : i + width])] < key(d):
                 gone |= set(range(i, i + width))
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), far.get((d, t), 0)))
     return sorted(out, key=repr)
 
 
@@ -292,7 +305,7 @@ def repeated_docs():
 def test_substrings_against_brute_force(frame, empty):
     docs = repeated_docs()
     df = frame(docs)
-    for width in (50, 10, 7):
+    for width in (50, 7):
         assert rows_of(substrings.report(df, width)) == brute_removed(docs, width)
     kept = substrings.remove(df, 50)
     assert kept.columns == df.columns
@@ -303,7 +316,41 @@ def test_longest_repeats(frame):
     r = random.Random(12)
     shared = prose(230, r)
     docs = [(1, shared + " " + prose(20, r)), (2, prose(10, r) + " " + shared), (3, " ".join(shared.split()[:60]) + " " + prose(90, r)), (4, prose(100, r))]
-    assert {x.doc_id: x.length for x in substrings.longest(frame(docs)).collect()} == {1: 200, 2: 200, 3: 50}
+    assert {x.doc_id: x.longest for x in substrings.report(frame(docs)).collect()} == {1: 0, 2: 200, 3: 50, 4: 0}
+
+
+@pytest.fixture
+def shaky(spark, monkeypatch):
+    """Every written table changes how files are split from then on, as cores that come and go do."""
+    cut, n = common.cut, [1]
+
+    def other(df, codec="zstd"):
+        out = cut(df, codec)
+        n[0] = n[0] % 13 + 4
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", n[0])
+        return out
+
+    monkeypatch.setattr(common, "cut", other)
+    yield
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
+def test_rows_keep_their_numbers(spark, tmp_path, shaky):
+    docs = [(d, t) for d, t in repeated_docs() if t]
+    near_ = near_docs()
+    for name, rows in (("a", docs), ("b", near_)):
+        spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, lq_uid int").repartition(9).write.parquet(str(tmp_path / name))
+    df = spark.read.parquet(str(tmp_path / "a"))
+    assert rows_of(substrings.report(df)) == brute_removed(docs, 50)
+    kept = substrings.remove(df)
+    assert kept.columns == df.columns and kept.count() == sum(n > gone or not n for _, n, gone, _, _ in brute_removed(docs, 50))
+    want, classes = brute_groups(near_), {}
+    for (d, _), g in zip(near_, want, strict=True):
+        classes.setdefault(g, []).append(d)
+    expected = Counter((d, min(classes[g], key=key)) for (d, _), g in zip(near_, want, strict=True))
+    df = spark.read.parquet(str(tmp_path / "b"))
+    assert Counter((r.doc_id, r.class_id) for r in near.report(df).collect()) == expected
+    assert near.keep_one(df, drop_held=False).count() == len(classes)
 
 
 # near dedup
@@ -375,6 +422,25 @@ def test_near_held_texts(frame):
     assert {x.doc_id for x in near.keep_one(df).collect()} == {1, 3, 5, 7, 8}
 
 
+def test_containment_recall_against_independent_shingles(frame):
+    """Every pair that containment in the smaller set links is in one group or a link of groups; shingles are counted here as words."""
+    docs = [(i, t) for i, (_, t) in enumerate(near_docs())]
+    sets = []
+    for _, t in docs:
+        w = plain(t) or spaced(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    got = {x.doc_id: x for x in near.report(frame(docs)).collect()}
+    of = {}
+    for i, x in got.items():
+        of.setdefault(x.class_id, set()).add(i)
+    for c, ids in of.items():  # links of representatives
+        held = [got[k].class_id for k in of if k != c and sets[c] and len(sets[c]) < len(sets[k]) and len(sets[c] & sets[k]) >= 0.8 * len(sets[c]) - 1e-9]
+        assert {got[i].n_holders for i in ids} == {len(held)} and {got[i].held_by for i in ids} == {min(held, default=None)}
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * min(len(sets[i]), len(sets[j])) - 1e-9]
+    both = sum(got[i].class_id == got[j].class_id or got[i].n_holders + got[j].n_holders > 0 for i, j in pairs)
+    assert len(pairs) > 100 and both >= 0.97 * len(pairs)
+
+
 def test_banding_meets_its_bound():
     for k in range(2, 16):
         bands, rows = near.banding(k)
