@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,39 +73,66 @@ class Searcher:
 
 
 def searchers(benchmark: DataFrame, window: int = WINDOW, most: int = PATTERN_BYTES):
-    """Searchers that together hold all items, each over `most` bytes of text or so."""
+    """(number of passes, the searchers of the passes one after the other): together they hold all items, each over `most` bytes of text or so."""
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce(common.bytes_of("text"), F.lit(b"")).alias("body"))
     size = b.agg(F.sum(F.length("body"))).first()[0] or 0
     passes = max(1, -(-size // most))
-    for k in range(passes):
-        part = b if passes == 1 else b.filter(F.pmod(F.xxhash64("name", "body"), F.lit(passes)) == k)
-        yield Searcher([(r.name, common.plain_words(bytes(r.body))) for r in part.toLocalIterator()], window)
+
+    def each():
+        for k in range(passes):
+            part = b if passes == 1 else b.filter(F.pmod(F.xxhash64("name", "body"), F.lit(passes)) == k)
+            yield Searcher([(r.name, common.plain_words(bytes(r.body))) for r in part.toLocalIterator()], window)
+
+    return passes, each()
+
+
+def _search(held, text: bytes | None) -> tuple[bytes | None, list[str]]:
+    got, found = held.value.search(common.plain_words(text))
+    return bytes(got) if got else None, sorted(found)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, hit: str = "_hit", items: str = "_items", window: int = WINDOW, most: int = PATTERN_BYTES) -> DataFrame:
-    """docs with the places of hit words (binary, a byte a word; null: no hit) and the item ids found (array<string>)."""
-    spark, first, plain = docs.sparkSession, True, docs.columns
-    for searcher in searchers(benchmark, window, most):
+    """docs with the places of hit words (binary, a byte a word; null: no hit) and the item ids found (array<string>).
+
+    A benchmark that needs several passes is searched by one after the other: each writes what it found and lets its tables go
+    before the next are made, so that driver and executors hold those of one pass.
+    """
+    spark = docs.sparkSession
+    passes, each = searchers(benchmark, window, most)
+    if passes == 1:
+        held = spark.sparkContext.broadcast(next(each))
+
+        def run(batches):
+            for b in batches:
+                got = [_search(held, t) for t in b["text"]]
+                yield {hit: [g[0] for g in got], items: [g[1] for g in got]}
+
+        return common.append_columns(docs, ["text"], run, f"`{hit}` binary, `{items}` array<string>")
+
+    uid = common.fresh(docs, "lq_uid")
+    numbered, found = common.numbered(docs, uid), None
+    for searcher in each:
         held = spark.sparkContext.broadcast(searcher)
 
-        def run(batches, held=held, first=first):
+        def run(batches, held=held):
             for b in batches:
-                out = {hit: [], items: []}
-                for k, text in enumerate(b["text"]):
-                    got, found = held.value.search(common.plain_words(text))
-                    if not first and (old := b[hit][k]):
-                        got = bytes(a | c for a, c in zip(got, old, strict=True)) if got else old
-                    out[hit].append(bytes(got) if got else None)
-                    out[items].append(sorted(found | (set() if first else set(b[items][k]))))
-                yield out
-
-        if not first:
-            docs = docs.withColumnsRenamed({hit: f"{hit}0", items: f"{items}0"})
-            inner = run
-            run = lambda batches, inner=inner: inner(({"text": b["text"], hit: b[f"{hit}0"], items: b[f"{items}0"]} for b in batches))
-        docs = common.append_columns(docs, ["text"] if first else ["text", f"{hit}0", f"{items}0"], run, f"`{hit}` binary, `{items}` array<string>").select(*[F.col(f"`{c}`") for c in plain], hit, items)
-        first = False
-    return docs
+                got = [(u, *_search(held, t)) for u, t in zip(b["uid"], b["text"], strict=True)]
+                got = [g for g in got if g[1]]
+                yield {"uid": [g[0] for g in got], "hit": [g[1] for g in got], "items": [g[2] for g in got]}
+
+        one = common.cut(common.map_columns(numbered.select(F.col(f"`{uid}`").alias("uid"), common.bytes_of("text").alias("text")), run, "uid long, hit binary, items array<string>"))
+        held.destroy()
+        del held, run, searcher
+        found = one if found is None else found.unionByName(one)
+
+    def merge(batches):
+        for b in batches:
+            yield {"uid": b["uid"], "hit": [np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in hs]).tobytes() for hs in b["hits"]], "items": [sorted({x for part in parts for x in part}) for parts in b["parts"]]}
+
+    merged = found.groupBy("uid").agg(F.collect_list("hit").alias("hits"), F.collect_list("items").alias("parts"))  # a row for each pass at most
+    merged = common.cut(common.map_columns(merged, merge, "uid long, hit binary, items array<string>"))
+    out = numbered.join(merged.select(F.col("uid").alias(uid), F.col("hit").alias(hit), F.col("items").alias(items)), uid, "left")
+    return out.withColumn(items, F.coalesce(F.col(items), F.array().cast("array<string>"))).select(*[F.col(f"`{c}`") for c in docs.columns], hit, items)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = PATTERN_BYTES) -> DataFrame:
@@ -138,7 +166,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
   FROM (SELECT *, least(len(w), 10) AS m FROM b WHERE len(w) > 0), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
 spot AS (SELECT rid, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
