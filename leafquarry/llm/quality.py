@@ -5,8 +5,8 @@ labelled sample and pruned on the last third; the documents that it covers leave
 rule is grown on the rest, until a rule is no better than its precision bound. Rules reject; what none of
 them covers is kept. A document counts as bad if its label has quality 0 or toxic 1.
 
-The sample holds LABELLED_ROWS labelled documents at most (those of the smallest id hashes). Statistics are of
-whole texts, and the rules run over all documents.
+The sample holds LABELLED_ROWS labelled documents at most (those of the smallest id hashes; of several rows with one id, the one of the smallest
+statistics). Statistics are of whole texts, and the rules run over all documents.
 
 Defined results: a null text has no words and fails the base rule; repeated rows are judged each; documents
 with several labels are bad if one says so; without labels of both kinds the list is empty and the base
@@ -113,8 +113,8 @@ def _holds(x: np.ndarray, names: list[str], rule: list[Condition]) -> np.ndarray
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> list[Condition]:
-    """Add the condition of the highest information gain until no clean row is covered."""
+def _grow(x: np.ndarray, y: np.ndarray, names: list[str], barred: set[tuple[str, str]]) -> list[Condition]:
+    """Add the condition of the highest information gain until no clean row is covered; the first one is none of `barred` (statistic, side)."""
     rule: list[Condition] = []
     on = np.ones(len(x), bool)
     while len(rule) < MAX_CONDITIONS and (~y[on]).any():
@@ -125,6 +125,8 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> list[Condition]:
             cuts = [np.quantile(part, np.linspace(0, 1, CUTS), method="higher") for part in (v, v[y[on]])]
             for cut in np.unique(np.concatenate(cuts)):
                 for op, got in ((">=", v >= cut), ("<=", v <= cut)):
+                    if not rule and (name, op) in barred:
+                        continue
                     p, n = y[on][got].sum(), (~y[on])[got].sum()
                     if p >= MIN_COVER and (gain := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > (best[0] if best else 1e-9):
                         best = gain, (name, op, float(cut))
@@ -150,15 +152,19 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str]) -> list[list[C
     third = np.arange(len(x)) % 3 == 2
     gx, gy, px, py = x[~third], bad[~third], x[third], bad[third]
     rules: list[list[Condition]] = []
+    barred: set[tuple[str, str]] = set()  # starts that led to no good rule on the rows that are left
     while len(rules) < MAX_RULES and gy.sum() >= MIN_COVER:
-        rule = _prune(px, py, names, _grow(gx, gy, names))
-        if not rule:
+        grown = _grow(gx, gy, names, barred)
+        if not grown:
             break
+        rule = _prune(px, py, names, grown)
         got, gp = _holds(px, names, rule), _holds(gx, names, rule)
         p, n = py[got].sum() + gy[gp].sum(), (~py[got]).sum() + (~gy[gp]).sum()
         if p < MIN_COVER or p / (p + n) < MIN_PRECISION:
-            break
+            barred.add(grown[0][:2])
+            continue
         rules.append(rule)
+        barred.clear()
         gx, gy, px, py = gx[~gp], gy[~gp], px[~got], py[~got]
     return rules
 
@@ -195,8 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROWS) -> tupl
     )
     lexicon = frozenset(bytes(r.word) for r in flagged.collect())
     stats = ratios()
-    got = add_counts(rows.select("doc_id", "text", "bad"), lexicon).filter(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words").select("doc_id", "bad", *[c.alias(f"s_{k}") for k, c in stats.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", *[f"s_{k}" for k in stats])
-    pdf = got.limit(2 * most).toPandas()
+    got = add_counts(rows.select("doc_id", "text", "bad"), lexicon).filter(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words")
+    got = got.groupBy("doc_id").agg(F.min(F.struct(*[c.alias(f"s_{k}") for k, c in stats.items()])).alias("s"), F.first("bad").alias("bad")).select("doc_id", "bad", "s.*")
+    pdf = got.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # `most` rows
     x, bad = pdf[[f"s_{k}" for k in stats]].to_numpy(float), pdf["bad"].to_numpy(bool)
     return lexicon, learn_rules(x, bad, list(stats))
 
