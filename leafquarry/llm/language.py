@@ -6,8 +6,10 @@ sequences that change language as code-switched text does: runs of 4 to 40 words
 one after the other. Forward-backward gives each word its posterior; a document's language has the
 largest mean posterior over its words with a letter, which is the score.
 
-Training takes TRAIN_DOCS documents at most (the smallest id hashes for each language) with a language and not
-held out: crc32 of the id as text is no multiple of HOLD_OUT. Ids, languages and sources are no input of a prediction.
+Training takes TRAIN_DOCS documents at most, shared out over all languages, but EACH of every language where there are very many (those of
+about the smallest id hashes), of TRAIN_BYTES at most each, with a language and not held out: crc32 of the id as text is no multiple of
+HOLD_OUT. The table of feature weights has WEIGHTS numbers at most: with many languages, features share buckets. Ids,
+languages and sources are no input of a prediction.
 
 Defined results: a null text or one without letters is `und` with score 0; without any training row all are;
 a null doc_id counts as held out; repeated rows are judged each; an empty table gives no row; extra
@@ -16,17 +18,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafquarry.llm import common
 
-HOLD_OUT, TRAIN_DOCS, LANGUAGES = 5, 1200, 64
+HOLD_OUT, TRAIN_DOCS, EACH, TRAIN_BYTES = 5, 1200, 4, 1 << 17
+#: Feature weights of all languages together, and feature buckets at most.
+WEIGHTS = 1 << 23
 BUCKETS, STEPS, RATE, DECAY = 1 << 17, 40, 0.15, 1e-4
 LEXICON_DOCS, SEQUENCE = 3, 96
 #: Words scored together, and distinct words whose scores a worker keeps.
@@ -35,7 +38,11 @@ TOGETHER, CACHED = 1_000_000, 1_000_000
 _hash = xxhash.xxh32_intdigest
 
 
-def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
+def buckets_for(n_labels: int) -> int:
+    return min(BUCKETS, max(256, 1 << (WEIGHTS // max(n_labels, 1)).bit_length() - 1))
+
+
+def features(word: str, lexicon: dict[str, tuple[int, ...]], buckets: int = BUCKETS) -> list[int]:
     """Buckets of the features of a lower-cased word; none if it has no letter."""
     if not any(map(str.isalpha, word)):
         return []
@@ -43,7 +50,7 @@ def features(word: str, lexicon: dict[str, tuple[int, ...]]) -> list[int]:
     names = [f"p{word[:k]}" for k in (1, 2, 3)] + [f"s{word[-k:]}" for k in (1, 2, 3)] + [f"w{word}"]
     names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
     names += [f"l{k}" for k in lexicon.get(word, ())]
-    return [_hash(x) % BUCKETS for x in names]
+    return [_hash(x) % buckets for x in names]
 
 
 def words_of(text: bytes | None) -> list[str]:
@@ -107,7 +114,7 @@ class Model:
             self.reset()
             new = list(dict.fromkeys(words))
         if new:
-            lists = [features(w, self.lexicon) for w in new]
+            lists = [features(w, self.lexicon, len(self.weights)) for w in new]
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter((x for f in lists for x in f), np.int64, int(sizes.sum()))
             sums = np.zeros((len(new), len(self.labels)), np.float32)
@@ -173,12 +180,13 @@ def fit(rows: list[tuple[bytes, str]]) -> Model:
     flat = [w for ws, _ in runs for w in ws]
     gold = np.repeat([y for _, y in runs], [len(ws) for ws, _ in runs]).astype(np.int64)
     n_labels, n = len(labels), len(flat)
-    model = Model(labels, lexicon, np.zeros((BUCKETS, n_labels), np.float32), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
+    buckets = buckets_for(n_labels)
+    model = Model(labels, lexicon, np.zeros((buckets, n_labels), np.float32), np.zeros((n_labels, n_labels)), np.zeros(n_labels))
     if not n or n_labels < 2:
         return model
     kinds = {w: i for i, w in enumerate(dict.fromkeys(flat))}
     ids = np.fromiter(map(kinds.__getitem__, flat), np.int64, n)
-    lists = [features(w, lexicon) for w in kinds]
+    lists = [features(w, lexicon, buckets) for w in kinds]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     feats, owner = np.fromiter((x for f in lists for x in f), np.int64, int(sizes.sum())), np.repeat(np.arange(len(lists)), sizes)
     starts = np.arange(0, n, SEQUENCE)
@@ -189,14 +197,14 @@ def fit(rows: list[tuple[bytes, str]]) -> Model:
     np.add.at(want_trans, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
     want = np.zeros((n, n_labels))
     want[np.arange(n), gold] = 1
-    weights, trans, first = np.zeros((BUCKETS, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
+    weights, trans, first = np.zeros((buckets, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
     mom = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, trans, first)]
     for step in range(1, STEPS + 1):
         emit = np.stack([np.bincount(owner, weights[feats, y], len(lists)) for y in range(n_labels)], axis=1)
         post, expected, _ = chain(emit[ids], starts, lengths, trans, first, pairs=True)
         diff = np.stack([np.bincount(ids, (want - post)[:, y], len(lists)) for y in range(n_labels)], axis=1)
         grads = (
-            np.stack([np.bincount(feats, diff[owner, y], BUCKETS) for y in range(n_labels)], axis=1) / n - DECAY * weights,
+            np.stack([np.bincount(feats, diff[owner, y], buckets) for y in range(n_labels)], axis=1) / n - DECAY * weights,
             (want_trans - expected) / n - DECAY * trans,
             (want[starts] - post[starts]).sum(axis=0) / n - DECAY * first,
         )
@@ -214,15 +222,18 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Fits on at most `most` documents, shared out evenly over the LANGUAGES most frequent languages."""
+    """Fits on documents of every language that a label names. Languages are counted in one scan without texts; a second one
+    reads the texts of ids whose hash is under the share that a language needs.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    langs = [r.lang for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    rows: list[tuple[bytes, str]] = []
-    for lang in langs:
-        each = known.filter(F.col("lang") == lang)
-        ids = [r[0] for r in each.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(math.ceil(most / len(langs))).collect()]
-        rows += [(bytes(r.body), lang) for r in each.filter(F.col("doc_id").isin(ids)).select("doc_id", common.bytes_of("text").alias("body")).orderBy("doc_id", "body").limit(len(ids)).collect()]
-    return fit(rows)
+    counts = common.cut(known.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(EACH, -(-most // max(counts.count(), 1)))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    some = known.join(counts, "lang").filter((F.octet_length("text") <= TRAIN_BYTES) & (place < F.lit(3.0 * each + 20) / F.col("n"))).select("lang", "doc_id", common.bytes_of("text").alias("body"))
+    some = common.cut(some)  # three times what is needed or so
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "body")
+    rows = some.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= each).orderBy("lang", "doc_id", "body")
+    return fit([(bytes(r.body), r.lang) for r in rows.toLocalIterator()])
 
 
 def identify(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
