@@ -138,6 +138,12 @@ def map_columns(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], s
     return df.mapInArrow(run, schema)
 
 
+def schema_of_ddl(ddl: str) -> pa.Schema:
+    """The Arrow schema of flat columns, without a session, as workers have none."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(","))])
+
+
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -18,7 +18,7 @@ def pages(spark):
 
 
 def test_warc_round_trip(spark, pages, tmp_path):
-    path = warc.write_warc(warc.with_file(pages, 20), str(tmp_path / "w"))
+    path = warc.write_warc(warc.with_file(pages, 20), str(tmp_path / "w"))["one"]
     got = warc.read_warc(spark, path).collect()
     assert len(got) == pages.count()
     files = {}
@@ -33,31 +33,70 @@ def test_warc_round_trip(spark, pages, tmp_path):
 def test_a_crowded_block_of_ids_is_dealt_out(spark, tmp_path):
     crowd = spark.range(90).selectExpr("5L as page_id", "concat('u', id) as url", "'h' as html")
     assert warc.with_file(crowd, 20).select("file").distinct().count() > 1
+    equal = spark.range(3000).selectExpr("5L as page_id", "'u' as url", "repeat('h', 100) as html")
+    counts = [r["count"] for r in warc.with_file(equal, 500).groupBy("file").count().collect()]
+    assert sum(counts) == 3000 and len(counts) == 6 and max(counts) < 700
+    by_bytes = [r["count"] for r in warc.with_file(equal, 5000, 100_000).groupBy("file").count().collect()]
+    assert len(by_bytes) == 10 and max(by_bytes) < 450
 
 
-@pytest.mark.parametrize("bad", [[], [0], [17], [3, 19, 56], list(range(40))])
+@pytest.mark.parametrize("bad", [[], [0], [3, 19, 56], list(range(40))])
 def test_audit_finds_what_differs(spark, pages, tmp_path, bad):
     from pyspark.sql import functions as F
 
     filed = warc.with_file(pages.filter("page_id < 57 and url not like '%again'"), 20)
-    one = warc.read_warc(spark, warc.write_warc(filed, str(tmp_path / "a")))
-    hurt = filed.withColumn("body", F.when(F.col("page_id").isin(bad), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    two = warc.read_warc(spark, warc.write_warc(hurt, str(tmp_path / "b")))
-    found = {(r.file, r.ordinal) for r in warc.audit(one, two).collect()}
+    hurt = F.when(F.col("page_id").isin(bad), F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    paths = warc.write_warc(filed, str(tmp_path / "a"), {"one": F.col("html"), "two": hurt})
+    found = {(r.file, r.ordinal) for r in warc.audit(*(warc.read_warc(spark, p) for p in paths.values())).collect()}
     want = {(f"{i // 20}_0", i % 20) for i in bad if i % 7}
     longer = {i for i in bad if i % 7 == 0}  # an empty page that became one byte moves what follows
     assert want <= found and (longer or found == want)
 
 
+def test_damaged_files_are_reported(spark, tmp_path):
+    """Bytes of written files are hurt: the audit names what they held, and the rest of the replica is whole."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://x.example/{i}", "<p>" + "".join(random.Random(i).choices("abcdefgh \n", k=400)) + "</p>") for i in range(100)]
+    filed = warc.with_file(spark.createDataFrame(rows, "page_id long, url string, html string"), 20)
+    paths = warc.write_warc(filed, str(tmp_path / "w"), {"one": F.col("html"), "two": F.col("html")})
+    shutil.rmtree(tmp_path / "w/replica=two/file=4_0")  # a lost file
+    part = lambda k: next((tmp_path / f"w/replica=two/file={k}_0").glob("*.gz"))
+    plain = gzip.decompress(part(0).read_bytes())
+    at = plain.index(b"Content-Length: 407", plain.index(b"<urn:page:7>"))
+    part(0).write_bytes(gzip.compress(plain[:at] + b"Content-Length: 497" + plain[at + 19 :]))  # a wrong length
+    raw = bytearray(part(1).read_bytes())
+    raw[len(raw) // 2] ^= 255  # a flipped byte
+    part(1).write_bytes(raw)
+    part(2).write_bytes(part(2).read_bytes()[:-300])  # a cut file
+    for f in (tmp_path / "w").rglob("*.crc"):
+        f.unlink()
+    one, two = (warc.read_warc(spark, p) for p in paths.values())
+    found: dict = {}
+    for r in warc.audit(one, two).collect():
+        found.setdefault(r.file, set()).add(r.ordinal)
+    assert found.pop("0_0") == {7} and found.pop("4_0") == set(range(20))
+    assert 19 in found["1_0"] and 0 not in found.pop("1_0") and 19 in found["2_0"] and 0 not in found.pop("2_0") and not found
+    assert {r.file for r in two.filter("error is not null").collect()} == {"0_0", "1_0", "2_0"}
+    assert one.filter("error is not null").isEmpty()
+
+
+def test_unpack_reads_members():
+    raw = gzip.compress(b"ab" * 5000) + gzip.compress(b"cd")
+    assert warc.unpack(raw) == (b"ab" * 5000 + b"cd", None) and warc.unpack(b"")[1] and warc.unpack(b"no gzip")[1]
+
+
 def test_audit_of_a_lacking_record(spark, pages, tmp_path):
-    one = warc.read_warc(spark, warc.write_warc(warc.with_file(pages, 20), str(tmp_path / "a")))
+    one = warc.read_warc(spark, warc.write_warc(warc.with_file(pages, 20), str(tmp_path / "a"))["one"])
     last = one.filter("file = '2_0'").agg({"ordinal": "max"}).first()[0]
     two = one.filter(f"not (file = '2_0' and ordinal = {last})")
     assert [(r.file, r.ordinal) for r in warc.audit(one, two).collect()] == [("2_0", last)]
 
 
 def test_audit_empty(spark, pages, tmp_path):
-    none = warc.read_warc(spark, warc.write_warc(warc.with_file(pages.limit(1), 20), str(tmp_path / "a"))).limit(0)
+    none = warc.read_warc(spark, warc.write_warc(warc.with_file(pages.limit(1), 20), str(tmp_path / "a"))["one"]).limit(0)
     assert warc.audit(none, none).collect() == []
 
 
