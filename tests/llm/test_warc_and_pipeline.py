@@ -146,6 +146,21 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert have == want
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table; repeated rows, nulls in every column and extra columns with names of the operators."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(22)
+    text = prose(80, r)
+    rows = [(1, text, None, None, None, 5, "k"), (1, text, None, None, None, 5, "k"), (None, None, None, None, None, None, None), (None, prose(70, r), "en", "s", 1, 2, None), (3, "", "en", "s", 0, 1, "z")]
+    for name, some in (("full", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long, uid long, kept string").coalesce(1).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        got = {(p.doc_id, p.start, p.length) for p in corpus_pipeline.run(spark, str(d)).collect()}
+        assert got == {(r[0], 0, len(library_ids(r[1]))) for r in (rows[0], rows[3]) if some}
+
+
 def test_stages_keep_the_columns():
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "benchmark_decontamination", "best_fit_packing"]
