@@ -55,7 +55,8 @@ def preorder(levels: list[DataFrame]) -> DataFrame:
     """Interval numbers for a tree given by levels of (key, parent_key), keys ordered and unique in a level.
 
     Subtree sizes go up, places go down: two joins and a window for each level, no recursion. Gives (level, key,
-    parent_key, node_id, subtree_end); node ids count from 0 within each root's tree (`root` is its key).
+    parent_key, node_id, subtree_end, path); node ids count from 0 within each root's tree (`root` is its key), path has the keys of
+    a node's ancestors by level and its own.
     """
     sized = [None] * len(levels)
     for k in range(len(levels) - 1, -1, -1):
@@ -65,12 +66,12 @@ def preorder(levels: list[DataFrame]) -> DataFrame:
         else:
             below = sized[k + 1].groupBy("parent_key").agg(F.sum("size").alias("s")).withColumnRenamed("parent_key", "key")
             sized[k] = levels[k].join(below, "key", "left").select("key", "parent_key", (one + F.coalesce("s", F.lit(0))).alias("size"))
-    placed = [sized[0].select(F.col("key").alias("root"), "key", "parent_key", F.lit(0).cast("long").alias("node_id"), "size")]
+    placed = [sized[0].select(F.col("key").alias("root"), "key", "parent_key", F.lit(0).cast("long").alias("node_id"), "size", F.array("key").alias("path"))]
     for k in range(1, len(levels)):
         before = F.coalesce(F.sum("size").over(Window.partitionBy("parent_key").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        up = placed[k - 1].select("root", F.col("key").alias("parent_key"), F.col("node_id").alias("up"))
-        placed.append(sized[k].withColumn("before", before).join(up, "parent_key").select("root", "key", "parent_key", (F.col("up") + 1 + F.col("before")).alias("node_id"), "size"))
-    rows = [p.select(F.lit(k).alias("level"), "root", "key", "parent_key", "node_id", (F.col("node_id") + F.col("size") - 1).alias("subtree_end")) for k, p in enumerate(placed)]
+        up = placed[k - 1].select("root", F.col("key").alias("parent_key"), F.col("node_id").alias("up"), "path")
+        placed.append(sized[k].withColumn("before", before).join(up, "parent_key").select("root", "key", "parent_key", (F.col("up") + 1 + F.col("before")).alias("node_id"), "size", F.concat("path", F.array("key")).alias("path")))
+    rows = [p.select(F.lit(k).alias("level"), "root", "key", "parent_key", "node_id", (F.col("node_id") + F.col("size") - 1).alias("subtree_end"), "path") for k, p in enumerate(placed)]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -115,17 +116,30 @@ def page_forms(chunk_rows: DataFrame) -> DataFrame:
     return forms.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")))
 
 
+def _with_page(chunk_rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """Page forms and chunks of the given kinds in one pass, with page_no and page_form of the last page form up to each.
+
+    Chunks stand behind their form in pre-order; page_form tells those of a page from those of other forms behind it.
+    """
+    page = (F.col("chunk_type") == "DJVU") & ((F.col("parent_id") == 0) | F.col("parent_id").isNull())
+    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = chunk_rows.filter(page | F.col("chunk_type").isin(kinds)).withColumn("is_page", page)
+    return rows.withColumns({"page_no": F.sum(F.col("is_page").cast("int")).over(w).cast("int"), "page_form": F.last(F.when(F.col("is_page"), F.col("node_id")), ignorenulls=True).over(w)})
+
+
 def page_chunks(chunk_rows: DataFrame, kinds: list[str]) -> DataFrame:
-    """Direct children of pages of the given kinds, with page_no."""
-    forms = page_forms(chunk_rows).select("doc_id", F.col("node_id").alias("parent_id"), "page_no")
-    return chunk_rows.filter(F.col("chunk_type").isin(kinds)).join(forms, ["doc_id", "parent_id"])
+    """Direct children of pages of the given kinds, with page_no. One pass over the chunks."""
+    rows = _with_page(chunk_rows, kinds)
+    return rows.filter(F.col("chunk_type").isin(kinds) & (F.col("page_form") == F.col("parent_id"))).drop("is_page", "page_form")
 
 
 def pages(chunk_rows: DataFrame) -> DataFrame:
-    """Pages with the fields of their first INFO chunk, and their place in the file."""
-    first = first_child(page_chunks(chunk_rows, ["INFO"]), "INFO", ["doc_id", "page_no"], "ord", "chunk_type", "payload")
-    forms = page_forms(chunk_rows).select("doc_id", "page_no", F.col("node_id").alias("form_node_id"), "node_offset")
-    return forms.join(first.select("doc_id", "page_no", "payload"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "form_node_id", "node_offset", *[c.alias(n) for n, c in binary.info_columns(F.col("payload")).items()])
+    """Pages with the fields of their first INFO chunk, and their place in the file. One pass over the chunks, one shuffle by document."""
+    rows = _with_page(chunk_rows, ["INFO"])
+    info = (F.col("chunk_type") == "INFO") & (F.col("page_form") == F.col("parent_id"))
+    own = lambda c: F.max(F.when(F.col("is_page"), F.col(c)))
+    forms = rows.filter("page_no > 0").groupBy("doc_id", "page_no").agg(own("node_id").alias("form_node_id"), own("node_offset").alias("node_offset"), F.min_by(F.when(info, F.col("payload")), F.when(info, F.col("ord"))).alias("payload"))
+    return forms.select("doc_id", "page_no", "form_node_id", "node_offset", *[c.alias(n) for n, c in binary.info_columns(F.col("payload")).items()])
 
 
 def neighbours(page_rows: DataFrame, by: str = "doc_id") -> DataFrame:
