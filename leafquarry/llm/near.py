@@ -292,9 +292,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = digest(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        m = common.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))  # a table, so that the join can be split at a node of many edges
         large = both.filter("b > a").join(m, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = common.cut(large)
+        low = common.cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         edges, before = common.cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), now
         now = digest(edges)
