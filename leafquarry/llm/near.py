@@ -18,7 +18,7 @@ banding finds. They come from bottom sketches: the SAMPLE least hashes of a set,
 the whole set. Every text looks all its shingles up among the samples (a bit table of at most FILTER_BITS thins out what is
 shuffled, never the result); a text is held only if enough of its sample stands in other groups, and then its
 rarest such shingles lead to candidates, which are compared exactly. Sets of SAMPLE shingles at most are their own sample, and lose nothing;
-a larger set that is held by exactly `least` is missed with a chance of 0.002 at most.
+a larger set that is held by exactly `least` is missed with a chance of 0.001.
 
 Defined results: words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased (if a text has none: of
 anything but white space); fewer than five words are one shingle; a text without words (or null) is
