@@ -57,6 +57,35 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The most words of 64 bits in a table of marks, which is broadcast (16 MB), whatever the input. With more values than bits nearly all rows pass and are shuffled, to the same result.
+MARK_WORDS = 1 << 20
+
+
+def _may_be(values: DataFrame, by: str) -> tuple[DataFrame, F.Column]:
+    """A table of bits for the values of column `by`, to be broadcast, and the condition that a row's value may be one of them."""
+    words = min(MARK_WORDS, max(1 << 10, 1 << (values.count() // 4).bit_length()))  # 16 bits a value
+    word, bit = f"pmod(shiftright(xxhash64({by}), 6), {words})", f"cast(pmod(xxhash64({by}), 64) as int)"
+    marks = values.select(F.expr(word).alias("lq_word"), F.expr(f"shiftleft(1L, {bit})").alias("lq_bits")).groupBy("lq_word").agg(F.bit_or("lq_bits").alias("lq_bits"))
+    return F.broadcast(marks), F.expr(f"{word} = lq_word and getbit(lq_bits, {bit}) = 1")
+
+
+def narrowed(df: DataFrame, values: DataFrame, by: str) -> DataFrame:
+    """df without most rows whose column `by` is not in the table `values`: what is joined with that next, so that few texts of many are shuffled."""
+    marks, may = _may_be(values, by)
+    return df.join(marks, may, "left_semi")
+
+
+def among(df: DataFrame, values: DataFrame, by: str) -> DataFrame:
+    """The rows of df whose column `by` is in the table `values`."""
+    return narrowed(df, values, by).join(values.select(by), by, "left_semi")
+
+
+def without(df: DataFrame, values: DataFrame, by: str) -> DataFrame:
+    """The rows of df whose column `by` is not in the table `values`. Only rows that may be are shuffled; df is read twice."""
+    marks, may = _may_be(values, by)
+    return df.join(marks, may, "left_anti").unionByName(df.join(marks, may, "left_semi").join(values.select(by), by, "left_anti"))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number of its own for each row in the column `name`, written once.
 

@@ -49,6 +49,8 @@ SAMPLE, SAMPLE_NEED = 24, 13
 #: The most bits of the table of sampled hashes (16 MB), whatever the input. 16 bits a hash let 1 of 60 others pass; with more hashes
 #: than bits nearly all pass and are shuffled, to the same result.
 FILTER_BITS = 1 << 27
+#: Ranges of hashes in that table: the upper half, the upper half of the rest, and so on.
+RANGES = 1
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:
@@ -188,17 +190,60 @@ def prefix_pairs(open_: DataFrame, texts: DataFrame, least: float = LEAST) -> Da
     return heads.alias("x").join(heads.alias("y"), "h").filter("x.label != y.label and x.uid > y.uid").filter(room).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
 
 
-def _bit_table(low: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """(bits, table): a bit for each of n hashes in the arrays `low`. Tasks set bits in tables of their own, which are joined by segment."""
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-    segment = min(bits // 8, 1 << 18)
+def _range(h: np.ndarray) -> np.ndarray:
+    """The range of each hash: its leading zero bits, RANGES - 1 at most."""
+    return np.minimum(16 - np.frexp((h >> np.uint64(48)).astype(np.float64))[1], RANGES - 1)
+
+
+class BitTable:
+    """Bits for hashes, `counts` of them by range: a range of L of all lookups and S of the hashes gets room by sqrt(L S), which lets the fewest others pass."""
+
+    def __init__(self, counts: np.ndarray):
+        share = np.sqrt(counts * 0.5 ** np.arange(1, RANGES + 1))
+        bits = min(FILTER_BITS, max(1 << 16, 1 << int(16 * counts.sum()).bit_length()))
+        self.size = np.maximum(64, share / max(share.sum(), 1e-9) * bits).astype(np.uint64)
+        self.base = np.cumsum(self.size) - self.size
+        self.segment = min(bits // 8, 1 << 18)
+        self.segments = -(-int(self.size.sum()) // (8 * self.segment))
+        self.table = None
+
+    def empty(self) -> np.ndarray:
+        return np.zeros(self.segments * self.segment, np.uint8)
+
+    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte and bit in it of each hash."""
+        r = _range(h)
+        spot = self.base[r] + h % self.size[r]
+        return spot >> np.uint64(3), np.uint8(1) << (spot & np.uint64(7)).astype(np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        byte, bit = self.at(h)
+        return self.table[byte] & bit != 0
+
+
+def _flat(lists) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _bit_table(low: DataFrame) -> BitTable:
+    """A table of the hashes in the arrays `low`. Tasks set bits in tables of their own, which are joined by segment."""
+
+    def count(batches):
+        n = np.zeros(RANGES, np.int64)
+        for b in batches:
+            n += np.bincount(_range(_flat(b["low"])), minlength=RANGES)
+        yield {"k": list(range(RANGES)), "n": n.tolist()}
+
+    counts = np.zeros(RANGES, np.int64)
+    for r in common.map_columns(low.select("low"), count, "k int, n long", ("low",)).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        counts[r.k] = r.n
+    out = BitTable(counts)
 
     def part(batches):
-        own = np.zeros(bits // 8, np.uint8)
+        own = out.empty()
         for b in batches:
-            at = np.fromiter((x for h in b["low"] for x in h), np.int64).view(np.uint64) & np.uint64(bits - 1)
-            np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        own = own.reshape(-1, segment)
+            np.bitwise_or.at(own, *out.at(_flat(b["low"])))
+        own = own.reshape(out.segments, out.segment)
         for k in np.flatnonzero(own.any(axis=1)).tolist():
             yield {"k": [k], "bits": [own[k].tobytes()]}
 
@@ -207,50 +252,51 @@ def _bit_table(low: DataFrame, n: int) -> tuple[int, np.ndarray]:
         for b in batches:
             for k, x in zip(b["k"], b["bits"], strict=True):
                 own[k] = own.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
-        if own:
-            yield {"k": list(own), "bits": [x.tobytes() for x in own.values()]}
+        for k, x in own.items():
+            yield {"k": [k], "bits": [x.tobytes()]}
 
-    parts = common.map_columns(low.select("low"), part, "k int, bits binary").repartition("k")
-    table = np.zeros((bits // 8 // segment, segment), np.uint8)
+    parts = common.map_columns(low.select("low"), part, "k int, bits binary", ("low",)).repartition("k")
+    table = out.empty().reshape(out.segments, out.segment)
     for r in common.map_columns(parts, join, "k int, bits binary").toLocalIterator():
         table[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
-    return bits, table.reshape(-1)
+    out.table = table.reshape(-1)
+    return out
 
 
-def _lookups(keyed: DataFrame, bits: int, table: np.ndarray) -> DataFrame:
-    """(uid, h): the shingles of every text whose bit is set."""
-    held = keyed.sparkSession.sparkContext.broadcast(table)
+def _lookups(texts: DataFrame, held) -> DataFrame:
+    """(uid, n, h): the shingles of every text whose bit is set in the broadcast table `held`."""
 
     def run(batches):
         here = held.value
         for b in batches:
-            uids, hs = [], []
+            uids, ns, hs = ([np.zeros(0, np.int64)] for _ in range(3))
             for uid, text in zip(b["uid"], b["text"], strict=True):
                 h = shingles(text)
-                at = h & np.uint64(bits - 1)
-                h = h[(here[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0]
-                uids.append(np.full(len(h), uid, np.int64))
-                hs.append(common.signed(h))
-            yield {"uid": np.concatenate([np.zeros(0, np.int64), *uids]), "h": np.concatenate([np.zeros(0, np.int64), *hs])}
+                own = h[here.has(h)]
+                uids.append(np.full(len(own), uid, np.int64))
+                ns.append(np.full(len(own), len(h), np.int64))
+                hs.append(common.signed(own))
+            yield {"uid": np.concatenate(uids), "n": np.concatenate(ns), "h": np.concatenate(hs)}
 
-    return common.map_columns(keyed.select("uid", common.bytes_of("text").alias("text")), run, "uid long, h long")
+    return common.map_columns(texts.select("uid", common.bytes_of("text").alias("text")), run, "uid long, n long, h long")
 
 
-def _offers(own: DataFrame, low: DataFrame, entries: int, texts: DataFrame, need) -> tuple[DataFrame, DataFrame]:
-    """(heads, rows) for hashes `low` (uid, n, low) that stand for sets and all shingles of texts (uid, text), both of `own` (uid, n).
+def _offers(low: DataFrame, texts: DataFrame, need) -> tuple[DataFrame, DataFrame]:
+    """(heads, rows) for hashes `low` (uid, n, low) that stand for sets and all shingles of texts (uid, text).
 
     A set is left if `need` of its hashes stand in larger sets; its head is so many of them, rarest first, that a holder has
-    one. rows: (h, uid, n) of all texts for the hashes in heads.
+    one. rows: (uid, n, h) of all texts for the hashes in heads.
     """
-    bits, table = _bit_table(low, entries)
-    rows = common.cut(_lookups(texts, bits, table).join(own, "uid"))
+    held = low.sparkSession.sparkContext.broadcast(_bit_table(low))
+    rows = common.cut(_lookups(texts, held))
+    held.destroy()
     # sums are tables of their own, as above
     several = common.cut(rows.groupBy("h").agg(F.count("*").alias("df"), F.max("n").alias("largest")).filter("df > 1"))
     sample = low.select("uid", "n", F.explode("low").alias("h")).join(several, "h").filter("largest > n")
     sample = sample.groupBy("uid").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))  # as many as `low` has
     heads = common.cut(sample.withColumn("first", (F.size("s") - need + 1).cast("int")).filter("first > 0").select("uid", "n", F.explode(F.expr("slice(s, 1, first)")).alias("x")).select("uid", "n", "x.h"))
     wanted = common.cut(heads.select("h").distinct())
-    found = common.cut(rows.join(wanted, "h"))
+    found = common.cut(common.among(rows, wanted, "h"))
     common.discard(rows, several)
     return heads, found
 
@@ -260,29 +306,29 @@ def holders(firsts: DataFrame, sets: DataFrame, keyed: DataFrame, least: float =
 
     Once with samples over all texts, then with whole sets over the texts that this leaves, then pair by pair.
     """
-    own = common.cut(firsts.filter("n > 0").select("uid", "n"))
-    low = common.cut(sets.select("uid", "low").join(own, "uid"))
+    gone = common.cut(sets.filter("n > 0").select("uid").join(firsts, "uid", "left_anti"))
+    low = common.cut(common.without(sets.filter("n > 0").select("uid", "n", "low"), gone, "uid"))
     whole = F.ceil(F.lit(least) * F.col("n") - 1e-9)
-    heads, rows = _offers(own, low, SAMPLE * low.count(), keyed.select("uid", "text"), F.when(F.col("n") <= SAMPLE, whole).otherwise(math.ceil(SAMPLE_NEED * least / LEAST)))
+    heads, rows = _offers(low, common.without(keyed.select("uid", "text"), gone, "uid"), F.when(F.col("n") <= SAMPLE, whole).otherwise(math.ceil(SAMPLE_NEED * least / LEAST)))
     few, some = common.cut(heads.select("uid").distinct()), common.cut(rows.select("uid").distinct())
     common.discard(low, heads, rows)
-    texts = common.cut(keyed.select("uid", "text").join(some, "uid", "left_semi"))
+    texts = common.cut(common.among(keyed.select("uid", "text"), some, "uid"))
 
     def run(batches):
         for b in batches:
-            yield {"uid": b["uid"], "low": [common.signed(shingles(t)).tolist() for t in b["text"]]}
+            got = [shingles(t) for t in b["text"]]
+            yield {"uid": b["uid"], "n": [len(h) for h in got], "low": [common.signed(h).tolist() for h in got]}
 
-    full = common.map_columns(texts.join(few, "uid", "left_semi").select("uid", common.bytes_of("text").alias("text")), run, "uid long, low array<long>")
-    full = common.cut(full.join(own, "uid"))
-    heads, rows = _offers(own, full, full.agg(F.sum("n")).first()[0] or 0, texts, whole)
-    pairs = heads.alias("x").join(rows.alias("y"), "h").filter("x.n < y.n").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
-    return common.cut(verify(common.cut(pairs), texts.select("uid", common.bytes_of("text").alias("body")), least, min))
+    full = common.cut(common.map_columns(common.among(texts, few, "uid").select("uid", common.bytes_of("text").alias("text")), run, "uid long, n long, low array<long>"))
+    heads, rows = _offers(full, texts, whole)
+    pairs = common.cut(heads.alias("x").join(rows.alias("y"), "h").filter("x.n < y.n").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct())
+    return common.cut(verify(pairs, _texts(texts, pairs), least, min))
 
 
 def _texts(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
     """(uid, body) of the texts in pairs (a, b), a table."""
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    return common.cut(keyed.select("uid", common.bytes_of("text").alias("body")).join(wanted, "uid", "left_semi"))
+    wanted = common.cut(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
+    return common.cut(common.among(keyed.select("uid", common.bytes_of("text").alias("body")), wanted, "uid"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,11 +355,11 @@ def groups(keyed: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     slim = sets.select("uid", "key", "n", "same")
     reps = common.cut(sets.filter("same is not null").groupBy("same").agg(F.min("uid").alias("rep")))
     members = common.cut(slim.join(reps, "same", "left").select("uid", "key", "n", F.coalesce("rep", "uid").alias("rep")))
-    only = members.filter("uid = rep").select("uid")
-    buckets = sets.join(only, "uid", "left_semi").select("uid", F.explode("bands").alias("band"))
+    copies = common.cut(members.filter("uid != rep").select("uid"))
+    buckets = common.cut(common.without(sets.select("uid", "bands"), copies, "uid").select("uid", F.explode("bands").alias("band")))
     # sums are tables of their own: a join with them has two plain sides, which adaptive execution can split at a hot key
     ends = common.cut(buckets.groupBy("band").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi"))
-    full = common.cut(buckets.join(ends.select("band"), "band"))  # buckets of two texts or more
+    full = common.cut(common.among(buckets, ends, "band"))  # buckets of two texts or more
     # one centre for each bucket: the least uid
     star = ends.select("band", F.col("lo").alias("b")).join(full, "band").select(F.col("uid").alias("a"), "b").filter("a != b").distinct()
     tested = common.cut(star)
@@ -325,7 +371,7 @@ def groups(keyed: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame
     open_ = common.cut(labelled.join(mixed, "band").groupBy("uid").agg(F.first("label").alias("label")))
     links = links.unionByName(common.cut(verify(prefix_pairs(open_, texts, least).join(tested, ["a", "b"], "left_anti"), texts, least)))
     labels = components(links)
-    common.discard(ends, full, tested, texts, labelled, mixed, open_)
+    common.discard(buckets, ends, full, tested, texts, labelled, mixed, open_)
     return members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("uid", "key", "n", "rep", F.coalesce("label", "rep").alias("class_uid"))
 
 
@@ -358,8 +404,8 @@ def keep_one(docs: DataFrame, least: float = LEAST, hashes: int = HASHES, drop_h
     left = _firsts(common.cut(groups(keyed, sets, least)), sets)
     if drop_held:
         left = left.join(holders(left, sets, keyed, least).select(F.col("a").alias("uid")).distinct(), "uid", "left_anti")
-    left = left.select("uid")
-    return common.unkeyed(keyed.join(common.cut(left), "uid", "left_semi"), docs)
+    gone = common.cut(sets.select("uid").join(left, "uid", "left_anti"))
+    return common.unkeyed(common.without(keyed, gone, "uid"), docs)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
