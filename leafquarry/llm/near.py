@@ -16,7 +16,7 @@ Groups are linked by their representatives (smallest doc_id, then text): one is
 these directed links the size partitions alone decide nothing: a text of 20 shingles in one of 20,000 has Jaccard similarity 0.001, which no
 banding finds. They come from bottom sketches: the SAMPLE least hashes of a set, which a holder has to hold at the rate of
 the whole set. Every text looks all its shingles up among the samples (a bit table of at most FILTER_BITS thins out what is
-shuffled, never the result); a text is held only if enough of its sample stands in other groups, and then its
+shuffled, never the result, and has the more room for a range of hashes the more are looked up there); a text is held only if enough of its sample stands in other groups, and then its
 rarest such shingles lead to candidates, which are compared exactly. Sets of SAMPLE shingles at most are their own sample, and lose nothing;
 a larger set that is held by exactly `least` is missed with a chance of 0.001.
 
@@ -46,11 +46,11 @@ MISS = 1e-3
 HELD = 4_000_000
 #: Least hashes that stand for a set when larger texts are searched for it, and how many of them a holder must have.
 SAMPLE, SAMPLE_NEED = 24, 13
-#: The most bits of the table of sampled hashes (16 MB), whatever the input. 16 bits a hash let 1 of 60 others pass; with more hashes
-#: than bits nearly all pass and are shuffled, to the same result.
-FILTER_BITS = 1 << 27
+#: The most bits of the table of sampled hashes (64 MB), whatever the input. With many more hashes than bits nearly all others pass
+#: and are shuffled, to the same result.
+FILTER_BITS = 1 << 29
 #: Ranges of hashes in that table: the upper half, the upper half of the rest, and so on.
-RANGES = 1
+RANGES = 16
 
 
 def shingles(text: bytes | None, width: int = WORDS) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from rows import key
 
@@ -46,3 +47,29 @@ def test_among_and_without(spark, monkeypatch, words):
         v = common.cut(spark.createDataFrame([(x,) for x in values], "uid long"))
         assert sorted(map(tuple, common.among(df, v, "uid").collect())) == sorted(r for r in rows if r[0] in values)
         assert sorted(map(tuple, common.without(df, v, "uid").collect()), key=lambda r: (key(r[0]), r[1])) == sorted((r for r in rows if r[0] not in values), key=lambda r: (key(r[0]), r[1]))
+
+
+def test_bit_table_holds_all_and_lets_few_others_pass(spark, monkeypatch):
+    """With more hashes than bits, a table without ranges let 1 - exp(-hashes / bits) of the others pass."""
+    monkeypatch.setattr(near, "FILTER_BITS", 1 << 16)
+    r = np.random.default_rng(1)
+    sets = [np.sort(r.integers(0, 2**64, n, np.uint64, endpoint=False)) for n in r.integers(30, 2000, 4000)]
+    low = [s[: near.SAMPLE] for s in sets]
+    table = near._bit_table(spark.createDataFrame([(common.signed(h).tolist(),) for h in low], "low array<long>"))
+    assert table.size.sum() <= 1.1 * (1 << 16)
+    assert all(table.has(h).all() for h in low)
+    passed = table.has(r.integers(0, 2**64, 100_000, np.uint64, endpoint=False)).mean()
+    assert passed < 0.3 < 1 - np.exp(-sum(map(len, low)) / (1 << 16))
+    assert not near.BitTable(np.zeros(near.RANGES, np.int64)).empty().any()
+
+
+def test_held_texts_do_not_depend_on_the_bit_table(frame, monkeypatch):
+    r = random.Random(3)
+    words = [f"k{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randint(5, 200))) for _ in range(40)]
+    docs = list(enumerate(texts + [" ".join(t.split()[: r.randint(5, 60)]) for t in texts] + ["", None]))
+    df = frame(docs)
+    want = sorted(map(tuple, near.report(df).collect()))
+    assert sum(x[4] > 0 for x in want) > 20
+    monkeypatch.setattr(near, "FILTER_BITS", 1 << 10)
+    assert sorted(map(tuple, near.report(df).collect())) == want
