@@ -124,9 +124,9 @@ def covered(keyed: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     twins = common.cut(classes.join(firsts, "same").filter("key > first").select("uid"))
     spots = offers.select("uid", "key", F.expr("xxhash64(same)").alias("same"), F.explode("hash").alias("hash"))
     half = _repeated(spots.select("hash", "key", "same"), ["hash"], "same")
-    near = spots.select("uid", "hash").join(half.select("hash"), "hash").groupBy("uid").agg(F.collect_list("hash").alias("half"))
+    near = common.among(spots.select("uid", "hash"), half, "hash").groupBy("uid").agg(F.collect_list("hash").alias("half"))
     near = common.cut(near.join(twins, "uid", "left_anti"))
-    texts = common.cut(keyed.select("uid", "key", common.bytes_of("text").alias("text")).join(near, "uid"))
+    texts = common.cut(common.narrowed(keyed.select("uid", "key", common.bytes_of("text").alias("text")), near, "uid").join(near, "uid"))
     common.discard(near)
 
     def run(batches):
@@ -223,8 +223,9 @@ def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = common.keyed(docs)
     _, texts, repeats, twins = covered(keyed, width)
     changed = common.cut(_kept_words(texts.join(_marks(repeats), "uid").select("uid", "text", "marks"), width).select("uid", "kept"))
-    out = keyed.join(twins, "uid", "left_anti").join(changed, "uid", "left").filter("kept is null or kept != ''")
-    return common.unkeyed(out.withColumn("text", F.coalesce("kept", "text")), docs)
+    same = common.without(keyed, common.cut(changed.select("uid").unionByName(twins)), "uid")
+    less = common.narrowed(keyed.drop("text"), changed, "uid").join(changed.filter("kept != ''").withColumnRenamed("kept", "text"), "uid")
+    return common.unkeyed(same.unionByName(less), docs)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What operator 9 moves between tasks, and the tables that keep rows out of it."""
+"""What operators 9 and 10 move between tasks, and the tables that keep rows out of it."""
 
 import random
 
@@ -38,6 +38,17 @@ def test_near_moves_few_texts(frame, moved):
     assert moved() - start < 0.4 * size
 
 
+def test_substrings_move_few_texts(frame, moved):
+    docs = [(i, " ".join(f"w{i}x{j}" + "".join(random.Random(i * 1000 + j).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=60)) for j in range(120))) for i in range(100)]
+    passage = " ".join(docs[7][1].split()[10:70])
+    docs += [(1000, docs[3][1]), (1001, f"start {passage} end"), (1002, passage), (1003, None), (1004, "")]
+    size = sum(len(t or "") for _, t in docs)
+    df, start = frame(docs), moved()
+    got = {r.doc_id: r.text for r in substrings.remove(df).collect()}
+    assert got == {d: t for d, t in docs if d not in (1000, 1002)} | {1001: "start end"}
+    assert moved() - start < 0.4 * size
+
+
 @pytest.mark.parametrize("words", [1 << 20, 1])
 def test_among_and_without(spark, monkeypatch, words):
     monkeypatch.setattr(common, "MARK_WORDS", words)
