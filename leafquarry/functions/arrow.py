@@ -43,5 +43,15 @@ def binary_function(fn: Callable, returns: str) -> Callable[[Column | str], Colu
 
 def map_groups(df: DataFrame, by: list[str], fn: Callable[[list[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """The rows of each group (a document's or a page's, of bounded size) become the rows that fn gives for them."""
-    target = arrow_schema(df.sparkSession, schema)
-    return df.groupBy(*by).applyInArrow(lambda table: pa.Table.from_pylist(list(fn(table.to_pylist())), schema=target), schema)
+    rest = [c for c in df.columns if c not in by]
+
+    def each(row: dict) -> Iterable[dict]:
+        key = {c: row[c] for c in by}
+        return fn([key | r for r in row["_rows"]])
+
+    return map_rows(df.groupBy(*by).agg(F.collect_list(F.struct(*rest)).alias("_rows")), each, schema)
+
+
+def spread(df: DataFrame, key: str, times: int = 4) -> DataFrame:
+    """df dealt to all cores by a key, `times` partitions each: for work that is heavy for its bytes, where a table may be one split."""
+    return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, key)
