@@ -11,8 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafquarry.formats import payloads
-from leafquarry.functions import arrow, binary
+from leafquarry.functions import binary, jvm
 
 COMPONENT = "ord int, offset long, size int, id string, name string, title string, kind string, bundled boolean, version int"
 #: Components of a document are few; a table of them is broadcast below this size, by the statistics that AQE has at run time.
@@ -110,35 +109,27 @@ def contains_children(rows: DataFrame, wanted: DataFrame, on: list[str]) -> Data
 # pages and components
 
 
-def page_forms(chunk_rows: DataFrame) -> DataFrame:
-    """Page forms with their number, from 1 in file order."""
-    forms = root_children(chunk_rows, ["DJVU"])
-    return forms.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")))
-
+def _is_page() -> Column:
+    return (F.col("chunk_type") == "DJVU") & ((F.col("parent_id") == 0) | F.col("parent_id").isNull())
 
-def _with_page(chunk_rows: DataFrame, kinds: list[str]) -> DataFrame:
-    """Page forms and chunks of the given kinds in one pass, with page_no and page_form of the last page form up to each.
 
-    Chunks stand behind their form in pre-order; page_form tells those of a page from those of other forms behind it.
-    """
-    page = (F.col("chunk_type") == "DJVU") & ((F.col("parent_id") == 0) | F.col("parent_id").isNull())
-    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunk_rows.filter(page | F.col("chunk_type").isin(kinds)).withColumn("is_page", page)
-    return rows.withColumns({"page_no": F.sum(F.col("is_page").cast("int")).over(w).cast("int"), "page_form": F.last(F.when(F.col("is_page"), F.col("node_id")), ignorenulls=True).over(w)})
+def page_forms(chunk_rows: DataFrame) -> DataFrame:
+    """Page forms with their number, from 1 in file order."""
+    return chunk_rows.filter(_is_page())
 
 
 def page_chunks(chunk_rows: DataFrame, kinds: list[str]) -> DataFrame:
-    """Direct children of pages of the given kinds, with page_no. One pass over the chunks."""
-    rows = _with_page(chunk_rows, kinds)
-    return rows.filter(F.col("chunk_type").isin(kinds) & (F.col("page_form") == F.col("parent_id"))).drop("is_page", "page_form")
+    """Direct children of pages of the given kinds, with page_no. A filter: the walk has numbered them."""
+    return chunk_rows.filter(F.col("chunk_type").isin(kinds) & F.col("page_no").isNotNull() & ~_is_page())
 
 
 def pages(chunk_rows: DataFrame) -> DataFrame:
-    """Pages with the fields of their first INFO chunk, and their place in the file. One pass over the chunks, one shuffle by document."""
-    rows = _with_page(chunk_rows, ["INFO"])
-    info = (F.col("chunk_type") == "INFO") & (F.col("page_form") == F.col("parent_id"))
-    own = lambda c: F.max(F.when(F.col("is_page"), F.col(c)))
-    forms = rows.filter("page_no > 0").groupBy("doc_id", "page_no").agg(own("node_id").alias("form_node_id"), own("node_offset").alias("node_offset"), F.min_by(F.when(info, F.col("payload")), F.when(info, F.col("ord"))).alias("payload"))
+    """Pages with the fields of their first INFO chunk, and their place in the file. One pass over the chunks; page forms and INFO chunks alone are shuffled."""
+    info = F.col("chunk_type") == "INFO"
+    rows = chunk_rows.filter(F.col("page_no").isNotNull() & (_is_page() | info)).select("doc_id", "page_no", "node_id", "node_offset", "ord", "payload", info.alias("is_info"))
+    own = lambda c: F.max(F.when(~F.col("is_info"), F.col(c)))
+    first = F.min_by(F.when(F.col("is_info"), F.col("payload")), F.when(F.col("is_info"), F.col("ord")))
+    forms = rows.groupBy("doc_id", "page_no").agg(own("node_id").alias("form_node_id"), own("node_offset").alias("node_offset"), first.alias("payload"))
     return forms.select("doc_id", "page_no", "form_node_id", "node_offset", *[c.alias(n) for n, c in binary.info_columns(F.col("payload")).items()])
 
 
@@ -150,8 +141,8 @@ def neighbours(page_rows: DataFrame, by: str = "doc_id") -> DataFrame:
 
 def components(chunk_rows: DataFrame) -> DataFrame:
     """Entries of the component directories."""
-    decode = arrow.binary_function(lambda p: payloads.read_dirm(bytes(p)), f"array<struct<{_fields(COMPONENT)}>>")
-    return chunk_rows.filter("chunk_type = 'DIRM'").select("doc_id", F.explode(decode("payload")).alias("c")).select("doc_id", "c.*")
+    entries = jvm.call(chunk_rows, "Directory", f"array<struct<{_fields(COMPONENT)}>>", F.col("payload"))
+    return chunk_rows.filter("chunk_type = 'DIRM'").select("doc_id", F.inline(entries))
 
 
 def _fields(ddl: str) -> str:

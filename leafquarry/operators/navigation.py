@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafquarry.formats import payloads
-from leafquarry.functions import arrow
+from leafquarry.functions import jvm
 
 BOOKMARK = "bm_id int, parent_id int, ord int, depth int, subtree_end int, name string, url string"
 
@@ -14,11 +13,8 @@ BOOKMARK = "bm_id int, parent_id int, ord int, depth int, subtree_end int, name
 def bookmarks(chunk_rows: DataFrame) -> DataFrame:
     """Bookmarks of documents in pre-order, with the number of bookmarks below each."""
 
-    def rows(row: dict):
-        for b in payloads.read_navm(bytes(row["payload"])):
-            yield {"doc_id": row["doc_id"], **b}
-
-    out = arrow.map_rows(chunk_rows.filter("chunk_type = 'NAVM'").select("doc_id", "payload"), rows, f"doc_id long, {BOOKMARK}")
+    fields = ", ".join("{}: {}".format(*f.split(" ")) for f in BOOKMARK.split(", "))
+    out = chunk_rows.filter("chunk_type = 'NAVM'").select("doc_id", F.inline(jvm.call(chunk_rows, "Bookmarks", f"array<struct<{fields}>>", F.col("payload"))))
     return out.withColumn("n_below", F.col("subtree_end") - F.col("bm_id"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafquarry.formats import build
-from leafquarry.functions import arrow
+from leafquarry.functions import arrow, jvm
 
 PAGE_HEIGHT = build.PAGE_LINES * build.LEADING
 _PER_PAGE = build.LINE_WORDS * build.PAGE_LINES
@@ -30,6 +30,26 @@ def words(documents: DataFrame) -> DataFrame:
     )
 
 
+def blocks(documents: DataFrame, size: int, name: str) -> DataFrame:
+    """(doc_id, `name`, words): each document's words in blocks of `size`, numbered from 0. The words stay in their document's row until here: no shuffle."""
+    split = F.array_remove(F.split("text", "[ \t\n\r]+"), "")
+    made = documents.select("doc_id", split.alias("ws")).filter("size(ws) > 0")
+    k = F.explode(F.expr(f"transform(sequence(0, (size(ws) - 1) div {size}), k -> struct(cast(k as int) as {name}, slice(ws, cast(k as int) * {size} + 1, {size}) as words))"))
+    return made.select("doc_id", k.alias("b")).select("doc_id", "b.*")
+
+
+def lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line, words) of each line."""
+    b = blocks(arrow.spread(documents.select("doc_id", "text"), "doc_id"), build.LINE_WORDS, "line")
+    return b.select("doc_id", (F.floor(F.col("line") / build.PAGE_LINES) + 1).cast("int").alias("page_no"), "line", "words")
+
+
+def page_words(documents: DataFrame) -> DataFrame:
+    """(doc_id, page_no, words) of each page."""
+    b = blocks(arrow.spread(documents.select("doc_id", "text"), "doc_id"), _PER_PAGE, "page")
+    return b.select("doc_id", (F.col("page") + 1).cast("int").alias("page_no"), "words")
+
+
 def pages(documents: DataFrame) -> DataFrame:
     """(doc_id, page_no) of every page with a word, without spreading the words."""
     n = F.size(F.filter(F.split("text", "[ \t\n\r]+"), lambda w: w != ""))
@@ -39,14 +59,11 @@ def pages(documents: DataFrame) -> DataFrame:
 def containers(documents: DataFrame, layer: str = "TXTa") -> DataFrame:
     """(doc_id, content): each document as a bundled container file. Every third id has no outline."""
 
-    def rows(row: dict):
-        ws = [w for w in (row["text"] or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if w]
-        n = -(-len(ws) // _PER_PAGE)
-        marks = None if row["doc_id"] % 3 == 0 or not n else [("Start", "#1", [("Last", str(n), []), ("Nowhere", f"#{n + 1}", [])])]
-        notes = f'(metadata (lang "{row["lang"]}") (source {row["source"]}))'
-        yield {"doc_id": row["doc_id"], "content": build.document(ws, marks, notes, n // 2, layer)}
-
-    return arrow.map_rows(documents.select("doc_id", "text", "lang", "source"), rows, "doc_id long, content binary")
+    docs = arrow.spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
+    known = lambda c: F.coalesce(c, F.lit("None"))
+    notes = F.concat(F.lit('(metadata (lang "'), known("lang"), F.lit('") (source '), known("source"), F.lit("))"))
+    outline = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    return docs.select("doc_id", jvm.call(docs, "MakeFile", "binary", F.col("text").cast("binary"), notes, outline, F.lit(layer == "TXTz")).alias("content"))
 
 
 #: The words for DuckDB, as w(doc_id, i, word).

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafquarry.formats import iff
-from leafquarry.functions import arrow, binary
+from leafquarry.functions import binary, jvm
 
-CHUNKS = "doc_id long, node_id int, parent_id int, ord int, depth int, subtree_end int, form_type string, chunk_id string, chunk_type string, node_offset long, data_offset long, length long, payload binary, error string"
+CHUNKS = "doc_id long, node_id int, parent_id int, ord int, depth int, subtree_end int, form_type string, chunk_id string, chunk_type string, node_offset long, data_offset long, length long, payload binary, page_no int, error string"
 
 
 def scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -26,24 +25,12 @@ def scan(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 
 def walk(files: DataFrame) -> DataFrame:
-    """Chunk rows of (doc_id, content) rows, leaves with their payload. Bytes that cannot be read give one row with `error`."""
-
-    def rows(row: dict):
-        data = bytes(row["content"] or b"")
-        try:
-            nodes = iff.walk(data)
-        except iff.Corrupt as e:
-            yield {"doc_id": row["doc_id"], "error": str(e)}
-            return
-        for n in nodes:
-            leaf = n.form_type is None
-            yield {
-                "doc_id": row["doc_id"], "node_id": n.node_id, "parent_id": n.parent_id, "ord": n.ord, "depth": n.depth, "subtree_end": n.subtree_end, "form_type": n.form_type,
-                "chunk_id": n.chunk_id, "chunk_type": n.chunk_type, "node_offset": n.node_offset, "data_offset": n.data_offset, "length": n.length,
-                "payload": data[n.data_offset : n.data_offset + n.length] if leaf else None, "error": None,
-            }
-
-    return arrow.map_rows(files.select("doc_id", "content"), rows, CHUNKS)
+    """Chunk rows of (doc_id, content) rows, leaves with their payload. Bytes that cannot be read give one row with `error`.
+
+    page_no is that of a page form and of its direct children, from 1 in file order: a file is walked as a whole, so nothing is shuffled for it.
+    """
+    columns = ", ".join("{}: {}".format(*c.split(" ")) for c in CHUNKS.split(", ")[1:])
+    return files.select("doc_id", F.inline(jvm.call(files, "WalkFile", f"array<struct<{columns}>>", F.col("content"))))
 
 
 def chunks(files: DataFrame) -> DataFrame:
