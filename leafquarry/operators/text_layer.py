@@ -8,29 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafquarry.formats import payloads
-from leafquarry.functions import arrow, geometry, text
+from leafquarry.functions import arrow, geometry, jvm, text
 
 ZONE = "zone_id int, parent_id int, ord int, depth int, subtree_end int, zone_type string, x int, y int, width int, height int, text_offset int, text_length int, n_children int, text string"
-LAYER = "doc_id long, page_no int, text string, version int, error string, zones array<struct<{}>>"
 #: Side of a cell of the grid that deals out many search rectangles.
 CELL = 256
 
 
 def decode(page_text_chunks: DataFrame) -> DataFrame:
     """Text layers of (doc_id, page_no, chunk_type, payload) rows: text, version, zones, or error."""
-    from leafquarry.codec import bzz
-
-    def rows(row: dict):
-        try:
-            raw = bytes(row["payload"])
-            body, version, zones = payloads.read_text_layer(bzz.decode(raw) if row["chunk_type"] == "TXTZ" else raw)
-            yield {"doc_id": row["doc_id"], "page_no": row["page_no"], "text": body, "version": version, "error": None, "zones": zones}
-        except (ValueError, IndexError) as e:
-            yield {"doc_id": row["doc_id"], "page_no": row["page_no"], "text": None, "version": None, "error": str(e), "zones": []}
-
     fields = ", ".join("`{}`: {}".format(*f.split(" ")) for f in ZONE.split(", "))
-    return arrow.map_rows(page_text_chunks.select("doc_id", "page_no", "chunk_type", "payload"), rows, LAYER.format(fields))
+    layer = jvm.call(page_text_chunks, "TextLayer", f"struct<text: string, version: int, error: string, zones: array<struct<{fields}>>>", F.col("payload"), F.col("chunk_type"))
+    return page_text_chunks.select("doc_id", "page_no", layer.alias("l")).select("doc_id", "page_no", "l.*")
 
 
 def zones(layers: DataFrame) -> DataFrame:
@@ -102,6 +91,19 @@ def post_text(zone_rows: DataFrame) -> DataFrame:
     return zone_rows.withColumn("post_text", _beside(1, Window.unboundedFollowing))
 
 
+def beside(line_rows: DataFrame) -> DataFrame:
+    """The words of (doc_id, page_no, line, words) rows with ord, pre_text and post_text: the texts around come out of the line's own row."""
+    each = line_rows.select("*", F.posexplode("words").alias("ord", "text"))
+    before, after = F.expr("array_join(slice(words, 1, ord), ' ')"), F.expr("array_join(slice(words, ord + 2, size(words)), ' ')")
+    return each.select(*[c for c in each.columns if c != "words"], before.alias("pre_text"), after.alias("post_text"))
+
+
+def rolled_layers(page_text_chunks: DataFrame) -> DataFrame:
+    """As `rollup`, straight from text chunks: a page's zones come and go in one row, so no zone is shuffled."""
+    fields = "zone_id: int, parent_id: int, ord: int, zone_type: string, rolled: string"
+    return page_text_chunks.select("doc_id", "page_no", F.inline(jvm.call(page_text_chunks, "Rolled", f"array<struct<{fields}>>", F.col("payload"), F.col("chunk_type"))))
+
+
 def rollup(zone_rows: DataFrame) -> DataFrame:
     """Every zone with its own text: of words their own; of lines the children's and a line end; of others the children's."""
 
