@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from leafquarry.formats import iff
+from leafquarry.functions import arrow
 
 
 def assemble(chunk_rows: DataFrame) -> DataFrame:
     """(doc_id, content): the bytes of each document from its chunk rows, lengths and alignment computed anew."""
 
-    def build(key, table):
-        import pyarrow as pa
-
-        rows = sorted(table.select(["node_id", "parent_id", "ord", "form_type", "chunk_id", "payload"]).to_pylist(), key=lambda r: (r["parent_id"] is not None, r["parent_id"], r["ord"], r["node_id"]))
+    def build(nodes: list[dict]):
         kids: dict = {}
-        for r in rows:
+        for r in sorted(nodes, key=lambda r: (r["parent_id"] is not None, r["parent_id"], r["ord"], r["node_id"])):
             kids.setdefault(r["parent_id"], []).append(r)
 
         def put(r: dict) -> bytes:
@@ -24,8 +22,6 @@ def assemble(chunk_rows: DataFrame) -> DataFrame:
             return iff.form(r["form_type"], [put(c) for c in kids.get(r["node_id"], [])])
 
         roots = kids.get(None, [])
-        return pa.table({"doc_id": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([iff.container(put(roots[0]))] if roots else [None], pa.binary())})
-
-    return chunk_rows.groupBy("doc_id").applyInArrow(build, "doc_id long, content binary")
-
+        yield {"doc_id": nodes[0]["doc_id"], "content": iff.container(put(roots[0])) if roots else None}
 
+    return arrow.map_groups(chunk_rows.select("doc_id", "node_id", "parent_id", "ord", "form_type", "chunk_id", "payload"), ["doc_id"], build, "doc_id long, content binary")
