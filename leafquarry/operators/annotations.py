@@ -6,19 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafquarry.formats import payloads
-from leafquarry.functions import arrow
+from leafquarry.functions import arrow, jvm
 
 ANNOTATION = "ann_id int, parent_id int, ord int, depth int, name string, value string"
 
 
 def texts(chunk_rows: DataFrame) -> DataFrame:
     """(doc_id, node_id, text) of annotation chunks, plain or compressed."""
-    from leafquarry.codec import bzz
-
-    unpack = arrow.binary_function(lambda p: bzz.decode(bytes(p)), "binary")
     raw = chunk_rows.filter("chunk_type in ('ANTA', 'ANTZ')")
-    packed = F.when(F.col("chunk_type") == "ANTZ", F.col("payload"))  # the function runs on every row
-    body = F.coalesce(unpack(packed), F.col("payload"))
+    body = F.when(F.col("chunk_type") == "ANTZ", jvm.call(raw, "BzzDecode", "binary", F.col("payload"))).otherwise(F.col("payload"))
     return raw.select("doc_id", "node_id", F.decode(body, "UTF-8").alias("text"))
 
 
