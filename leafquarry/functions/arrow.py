@@ -53,5 +53,6 @@ def map_groups(df: DataFrame, by: list[str], fn: Callable[[list[dict]], Iterable
 
 
 def spread(df: DataFrame, key: str, times: int = 4) -> DataFrame:
-    """df dealt to all cores by a key, `times` partitions each: for work that is heavy for its bytes, where a table may be one split."""
-    return df.repartition(times * df.sparkSession.sparkContext.defaultParallelism, key)
+    """df dealt to all cores by a key, `times` partitions each (or as many as shuffles have): for work that is heavy for its bytes, where a table may be one split."""
+    spark = df.sparkSession
+    return df.repartition(max(times * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
